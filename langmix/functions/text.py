@@ -109,13 +109,23 @@ def tweet_tokens(c) -> Column:
     return F.regexp_extract_all(F.lower(col_(c)), F.lit(TWEET_TOKEN_PATTERN), 0)
 
 
-def char_ngrams(c, n: int) -> Column:
-    """Character n-grams of ``' ' + lower(collapsed text) + ' '`` (whole text)."""
-    padded = F.concat(F.lit(" "), F.lower(F.regexp_replace(col_(c), r"\s+", " ")), F.lit(" "))
-    return F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))),
-        lambda i: F.substring(padded, i, n),
-    )
+def ngram_text(c) -> Column:
+    """Detector view of a text: lower-cased, whitespace runs collapsed, space-padded."""
+    return F.concat(F.lit(" "), F.lower(F.regexp_replace(col_(c), r"\s+", " ")), F.lit(" "))
+
+
+def char_ngrams(padded, n: int) -> Column:
+    """Character n-grams of an already padded text column (see :func:`ngram_text`).
+
+    One linear regex pass: each match consumes one code point and captures the
+    n code points starting there (a lookahead), so grams overlap and never
+    start inside a surrogate pair."""
+    return F.regexp_extract_all(col_(padded), F.lit(f"(?s)(?=(.{{{n}}}))."), 1)
+
+
+def char_ngram_count(padded, n: int) -> Column:
+    """Number of grams :func:`char_ngrams` yields, without building them."""
+    return F.greatest(F.length(col_(padded)) - n + 1, F.lit(0))
 
 
 def label_line(language, sentence) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from langmix.operators.corpus import canonicalise_documents
+from langmix.session import ensure_checkpoint_dir
 from langmix.sources.tables import code_dimension, table
 
 
@@ -21,6 +22,7 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
     return table(spark, sf_dir, "documents")
 
 
