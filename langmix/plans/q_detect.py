@@ -58,12 +58,13 @@ def _gram_expr(n: int) -> str:
     return " || ".join(["c"] + [f"lead(c, {k}) OVER w" for k in range(1, n)])
 
 
-def detector_ctes(n: int, train: str, label: str, evalset: str, id_col: str, text: str, name: str) -> list[str]:
+def detector_ctes(n: int, train: str, label: str, evalset: str, id_col: str, text: str, name: str,
+                  train_text: str = "sentence") -> list[str]:
     """The same smoothed char n-gram model in SQL; ``name`` has (id, lang, prob, r).
     Grams come from the code points of the padded text and ``lead()``."""
     pad = "regexp_extract_all(' ' || lower(regexp_replace({t}, '\\s+', ' ', 'g')) || ' ', '.')"
     return [
-        f"{name}_tch AS (SELECT row_number() OVER () AS rid, {label} AS label, {pad.format(t=text)} AS ch FROM {train})",
+        f"{name}_tch AS (SELECT row_number() OVER () AS rid, {label} AS label, {pad.format(t=train_text)} AS ch FROM {train})",
         f"""{name}_c AS (SELECT label, g, count(*) AS c FROM (
   SELECT label, {_gram_expr(n)} AS g FROM (
     SELECT rid, label, unnest(ch) AS c, generate_subscripts(ch, 1) AS i FROM {name}_tch)
