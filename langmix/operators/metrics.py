@@ -30,12 +30,13 @@ def row_scores(df: DataFrame, gold: str, pred: str) -> DataFrame:
 
 
 def score_predictions(df: DataFrame, codes: DataFrame, gold: str, pred: str = "pred_lang",
-                      data_name: str = "data", group: str = "system") -> DataFrame:
+                      data_name: str | None = "data", group: str = "system") -> DataFrame:
     """P3 (drop nulls), P4 (drop und/other), F3 both sides, E1-E3, summary x100 rounded to 4."""
     clean = df.na.drop(subset=[gold, pred]).filter(~F.col(gold).isin(*RESERVED_LABELS))
     scored = row_scores(normalise_codes(clean, codes, [gold, pred]), gold, pred)
+    extra = [F.lit(data_name).alias("data_name")] if data_name is not None and group != "data_name" else []
     return scored.groupBy(group).agg(
-        F.lit(data_name).alias("data_name"),
+        *extra,
         F.round(F.avg("acc") * 100, 4).alias("acc"),
         F.round(F.avg("f1") * 100, 4).alias("f1"),
         F.round(F.avg("fpr") * 100, 4).alias("fpr"),
