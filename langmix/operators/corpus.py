@@ -27,8 +27,10 @@ def canonicalise_documents(docs: DataFrame, codes: DataFrame) -> DataFrame:
 
 
 def filter_nonempty(df: DataFrame, sentence: str = "sentence", language: str = "language") -> DataFrame:
-    """Trimmed sentence and language both non-empty."""
-    return df.filter((T.strip_ws(F.col(sentence)) != "") & F.col(language).isNotNull() & (F.col(language) != ""))
+    """Trimmed sentence and language both non-empty. "Non-empty after strip"
+    is tested as "has a non-whitespace character", which stops at the first hit
+    instead of rewriting the whole text."""
+    return df.filter(F.col(sentence).rlike(r"(?U)\S") & F.col(language).isNotNull() & (F.col(language) != ""))
 
 
 def with_text_stats(df: DataFrame, sentence: str = "sentence") -> DataFrame:

@@ -13,7 +13,9 @@ from langmix.sources.tables import code_dimension, table
 def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     """Raise parallelism only when a scan yields fewer partitions than cores
     (the fixture files are single row groups). On a cluster the scan already
-    has thousands of splits and this is a no-op."""
+    has thousands of splits and this is a no-op. Hash-partition by a key when
+    one is given: a round-robin repartition would sort every row first to stay
+    deterministic on retry."""
     spark = df.sparkSession
     want = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= want:
@@ -23,7 +25,7 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
