@@ -38,20 +38,27 @@ def head_flag(
     tie_col: str,
     limit_fn: Callable[[Column], Column],
     flag: str = "in_head",
-    prefix_len: int = 4,
+    prefix_len: int = 3,
 ) -> DataFrame:
     """Add boolean ``flag``: row's rank within ``part_cols`` (by order_col, tie_col) <= limit.
 
     ``limit_fn`` receives the group's total row count and returns its limit
     (e.g. ``lambda n: F.floor(n * 0.9)``). ``order_col`` must be a uniform hex
-    hash string so that its prefix spreads rows evenly over buckets.
+    hash string so its prefix spreads rows evenly over ``16^prefix_len``
+    buckets; ``tie_col`` must be unique per row.
+
+    Only narrow ``(part, bucket, order, tie)`` columns feed the histogram and
+    the boundary ranking; the wide rows are read once and joined with two small
+    tables (bucket status: ``16^prefix_len`` rows per group; boundary flags: about
+    ``1/16^prefix_len`` of the rows) that AQE broadcasts when they fit.
     """
     part = list(part_cols)
-    bucketed = df.withColumn(_B, F.substring(F.col(order_col), 1, prefix_len))
-    hist = bucketed.groupBy(*part, _B).agg(F.count(F.lit(1)).alias("__n"))
+    bucket = F.substring(F.col(order_col), 1, prefix_len)
+    narrow = df.select(*part, bucket.alias(_B), order_col, tie_col)
+    hist = narrow.groupBy(*part, _B).agg(F.count(F.lit(1)).alias("__n"))
     run = Window.partitionBy(*part).orderBy(_B).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*part)
-    hist = (
+    status = (
         hist.withColumn("__cum", F.sum("__n").over(run))
         .withColumn("__total", F.sum("__n").over(whole))
         .withColumn("__limit", limit_fn(F.col("__total")))
@@ -66,16 +73,17 @@ def head_flag(
             (F.col("__limit") - F.col("__prev")).alias(_REMAIN),
         )
     )
-    joined = bucketed.join(hist, on=[*part, _B], how="inner")
-    settled = joined.filter(F.col(_STATUS) != "partial").withColumn(flag, F.col(_STATUS) == "all")
     boundary = Window.partitionBy(*part, _B).orderBy(order_col, tie_col)
     partial = (
-        joined.filter(F.col(_STATUS) == "partial")
+        narrow.join(status.filter(F.col(_STATUS) == "partial"), [*part, _B], "inner")
         .withColumn("__rn", F.row_number().over(boundary))
-        .withColumn(flag, F.col("__rn") <= F.col(_REMAIN))
-        .drop("__rn")
+        .select(tie_col, (F.col("__rn") <= F.col(_REMAIN)).alias("__pflag"))
     )
-    return settled.unionByName(partial).drop(_B, _STATUS, _REMAIN)
+    wide = df.withColumn(_B, bucket).join(status.select(*part, _B, _STATUS), [*part, _B], "inner")
+    wide = wide.join(partial, tie_col, "left")
+    return wide.withColumn(
+        flag, F.when(F.col(_STATUS) == "all", True).when(F.col(_STATUS) == "none", False).otherwise(F.col("__pflag"))
+    ).drop(_B, _STATUS, "__pflag")
 
 
 def global_rank(
