@@ -17,6 +17,7 @@ The detector interface (M1) is ``transform(df, id_col, text_col)`` ->
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -33,25 +34,28 @@ BROADCAST_MODEL_ROWS = 2_000_000
 class CharNgramModel:
     n: int
     grams: DataFrame  # label, g, delta
-    floors: DataFrame  # label, floor
-    labels: list[str]
+    floors: dict[str, float]  # label -> floor (one entry per language: a small dimension)
     model_rows: int
 
+    @property
+    def labels(self) -> list[str]:
+        return sorted(self.floors)
+
     def transform(self, df: DataFrame, id_col: str, text_col: str, k: int = 3) -> DataFrame:
         return detect(self, df, id_col, text_col, k)
 
 
 def fit_char_ngram(train: DataFrame, text_col: str, label_col: str, n: int = 3) -> CharNgramModel:
-    """M2 fit: one grouped count over exploded grams (partial aggregation map-side)."""
+    """M2 fit: one grouped count over exploded grams (partial aggregation map-side),
+    checkpointed; then one pass for the vocabulary size and one small per-label sum."""
     padded = train.select(F.col(label_col).alias("label"), ngram_text(text_col).alias("__p"))
     grams = padded.select("label", F.explode(char_ngrams("__p", n)).alias("g"))
     counts = grams.groupBy("label", "g").agg(F.count(F.lit(1)).alias("c")).checkpoint()
-    vocab = counts.select("g").distinct().count()
-    floors = counts.groupBy("label").agg((-F.log(F.sum("c") + F.lit(vocab))).alias("floor"))
+    stats = counts.agg(F.countDistinct("g").alias("v"), F.count(F.lit(1)).alias("rows")).first()
+    totals = counts.groupBy("label").agg(F.sum("c").alias("n")).collect()
+    floors = {r["label"]: -math.log(r["n"] + stats["v"]) for r in totals}
     model = counts.select("label", "g", F.log(F.col("c") + 1).alias("delta"))
-    # labels of a language-ID model form a small dimension (one per language)
-    labels = sorted(r["label"] for r in floors.select("label").collect())
-    return CharNgramModel(n, model, floors, labels, counts.count())
+    return CharNgramModel(n, model, floors, stats["rows"])
 
 
 def detect(model: CharNgramModel, df: DataFrame, id_col: str, text_col: str, k: int = 3) -> DataFrame:
@@ -73,7 +77,7 @@ def detect(model: CharNgramModel, df: DataFrame, id_col: str, text_col: str, k:
         .groupBy("__id")
         .agg(F.map_from_entries(F.collect_list(F.struct("label", "__s"))).alias("__m"))
     )
-    floors = {r["label"]: r["floor"] for r in model.floors.collect()}
+    floors = model.floors
     entries = F.array(
         *[F.struct(F.lit(lab).alias("lang"), F.lit(floors[lab]).alias("fl")) for lab in model.labels]
     )
