@@ -189,3 +189,29 @@ def min_count_filter(df: DataFrame, label: str, n: int, part_cols: list[str] | N
     keys = [*(part_cols or []), label]
     keep = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= n).drop("__n")
     return df.join(keep, on=keys, how="left_semi")
+
+
+def drop_prefixed_columns(df: DataFrame, prefix: str) -> DataFrame:
+    """Drop columns whose name starts with ``prefix`` (e.g. after a merge)."""
+    return df.drop(*[c for c in df.columns if c.startswith(prefix)])
+
+
+def rename_columns(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
+    """P14."""
+    return df.withColumnsRenamed(mapping)
+
+
+def with_literals(df: DataFrame, values: dict[str, object]) -> DataFrame:
+    """Constant label / source columns."""
+    return df.withColumns({k: F.lit(v) for k, v in values.items()})
+
+
+def distinct_labels(df: DataFrame, label: str) -> DataFrame:
+    """Number of distinct labels and their sorted list (the list is a
+    dimension-size result: one entry per label)."""
+    return df.agg(F.countDistinct(label).alias("nunique"), F.array_sort(F.collect_set(label)).alias("unique"))
+
+
+def sample_rows(df: DataFrame, n: int, id_col: str, seed: int | str = 42) -> DataFrame:
+    """N rows in reproducible md5 order (a top-n, so Spark keeps a bounded heap per task)."""
+    return df.withColumn("__h", md5_order(id_col, seed)).orderBy("__h", id_col).limit(n).drop("__h")
