@@ -136,15 +136,19 @@ def top2_labels(topk) -> Column:
     return F.slice(F.transform(col_(topk), lambda x: x["lang"]), 1, 2)
 
 
+def _class_array(classes: list[str]) -> Column:
+    return F.array(*[F.lit(c) for c in classes]).cast("array<string>")
+
+
 def multi_hot(labels, classes: list[str]) -> Column:
     """0/1 over the sorted class list."""
-    arr = F.array(*[F.lit(c) for c in classes])
+    arr = _class_array(classes)
     return F.transform(arr, lambda c: F.array_contains(col_(labels), c).cast("int"))
 
 
 def multi_hot_inverse(bits, classes: list[str]) -> Column:
     """F20 inverse: the classes whose bit is set."""
-    arr = F.array(*[F.lit(c) for c in classes])
+    arr = _class_array(classes)
     return F.transform(
         F.filter(F.arrays_zip(arr.alias("c"), col_(bits).alias("b")), lambda z: z["b"] == 1), lambda z: z["c"]
     )

@@ -31,7 +31,7 @@ def col_(c) -> Column:
 
 def num_tokens(c) -> Column:
     """number of whitespace tokens (Python ``len(s.split())``)."""
-    return F.regexp_count(col_(c), F.lit(TOKEN_PATTERN))
+    return F.regexp_count(col_(c), F.lit(TOKEN_PATTERN)).cast("long")
 
 
 def tokens_ws(c) -> Column:

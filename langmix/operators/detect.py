@@ -62,21 +62,20 @@ def detect(model: CharNgramModel, df: DataFrame, id_col: str, text_col: str, k:
     """M1/M4: top-k languages with softmax probabilities for every row (whole text)."""
     padded = df.select(F.col(id_col).alias("__id"), ngram_text(text_col).alias("__p"))
     totals = padded.select("__id", char_ngram_count("__p", model.n).cast("double").alias("__T"))
-    doc_grams = (
-        padded.select("__id", F.explode(char_ngrams("__p", model.n)).alias("g"))
-        .groupBy("__id", "g")
-        .agg(F.count(F.lit(1)).alias("__k"))
-    )
-    table = model.grams
+    grams = padded.select("__id", F.explode(char_ngrams("__p", model.n)).alias("g"))
     if model.model_rows <= BROADCAST_MODEL_ROWS:
-        table = F.broadcast(table)
-    seen = (
-        doc_grams.join(table, "g")
-        .groupBy("__id", "label")
-        .agg(F.sum(F.col("__k") * F.col("delta")).alias("__s"))
-        .groupBy("__id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("label", "__s"))).alias("__m"))
-    )
+        # Broadcast model: a document's grams never leave its partition; the
+        # (doc, language) partial sums collapse in-partition and only one row
+        # per (doc, language) is shuffled.
+        per_lang = grams.join(F.broadcast(model.grams), "g").groupBy("__id", "label").agg(F.sum("delta").alias("__s"))
+    else:
+        # Large model: grams are shuffled by g anyway, so count them per doc
+        # first; AQE splits skewed (frequent-gram) partitions of the join.
+        doc_grams = grams.groupBy("__id", "g").agg(F.count(F.lit(1)).alias("__k"))
+        per_lang = doc_grams.join(model.grams, "g").groupBy("__id", "label").agg(
+            F.sum(F.col("__k") * F.col("delta")).alias("__s")
+        )
+    seen = per_lang.groupBy("__id").agg(F.map_from_entries(F.collect_list(F.struct("label", "__s"))).alias("__m"))
     floors = model.floors
     entries = F.array(
         *[F.struct(F.lit(lab).alias("lang"), F.lit(floors[lab]).alias("fl")) for lab in model.labels]

@@ -113,6 +113,8 @@ def predict_multilabel(models: dict, df: DataFrame, id_col: str, threshold: floa
     """M9: per-class probabilities -> labels with p >= threshold (F21), or among
     the top_k most probable (F22). Per row the class list is bounded by the
     number of classes."""
+    if not models:
+        return df.select(id_col, F.array().cast("array<string>").alias("predicted"))
     parts = []
     for c, m in models.items():
         p = m.transform(df).select(id_col, F.lit(c).alias("cls"), vector_to_array("__p")[1].alias("prob"))

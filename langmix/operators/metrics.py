@@ -137,7 +137,7 @@ def lowest_per_class(df: DataFrame, classes: DataFrame, k: int = 5) -> DataFrame
         F.round(F.avg("f1"), 6).alias("f1_mean"), F.count(F.lit(1)).alias("sample_data")
     )
     w = Window.partitionBy("class").orderBy("f1_mean", "lang_code")
-    return g.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return g.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
 def largest_per_class(df: DataFrame, classes: DataFrame, k: int = 5) -> DataFrame:
@@ -145,4 +145,4 @@ def largest_per_class(df: DataFrame, classes: DataFrame, k: int = 5) -> DataFram
     joined = df.join(F.broadcast(classes), "lang_code", "left").filter(F.col("class").isNotNull())
     g = joined.groupBy("class", "lang_code").agg(F.count(F.lit(1)).alias("count"))
     w = Window.partitionBy("class").orderBy(F.desc("count"), "lang_code")
-    return g.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return g.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)

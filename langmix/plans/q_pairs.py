@@ -69,7 +69,8 @@ def explode_parallel(arrays: DataFrame, codes: DataFrame) -> DataFrame:
     """C2/UD3: one row per (language, translation) position; strict ISO-3 on the
     prefix before '-' (misses are row-level rejects, D5)."""
     z = arrays.select("bundle_id", F.posexplode(F.arrays_zip("language", "translation")).alias("pos", "z"))
-    z = z.select("bundle_id", "pos", F.col("z.language").alias("data_lang"), F.col("z.translation").alias("sentence"))
+    z = z.select("bundle_id", F.col("pos").cast("long").alias("pos"), F.col("z.language").alias("data_lang"),
+                 F.col("z.translation").alias("sentence"))
     z = z.withColumn("__k", prefix_before(F.col("data_lang"), "-"))
     return z.join(F.broadcast(codes.select(F.col("iso_1").alias("__k"), F.col("iso_3").alias("language"))), "__k").drop(
         "__k"
