@@ -36,6 +36,7 @@ class CharNgramModel:
     grams: DataFrame  # label, g, delta
     floors: dict[str, float]  # label -> floor (one entry per language: a small dimension)
     model_rows: int
+    vocab_size: int = 0
 
     @property
     def labels(self) -> list[str]:
@@ -55,7 +56,14 @@ def fit_char_ngram(train: DataFrame, text_col: str, label_col: str, n: int = 3)
     totals = counts.groupBy("label").agg(F.sum("c").alias("n")).collect()
     floors = {r["label"]: -math.log(r["n"] + stats["v"]) for r in totals}
     model = counts.select("label", "g", F.log(F.col("c") + 1).alias("delta"))
-    return CharNgramModel(n, model, floors, stats["rows"])
+    return CharNgramModel(n, model, floors, stats["rows"], stats["v"])
+
+
+def wide_model(model: CharNgramModel) -> DataFrame:
+    """One row per gram: ``d`` = array of deltas in label order (0 where unseen)."""
+    labels = model.labels
+    piv = model.grams.groupBy("g").pivot("label", labels).agg(F.first("delta"))
+    return piv.select("g", F.array(*[F.coalesce(F.col(f"`{lab}`"), F.lit(0.0)) for lab in labels]).alias("d"))
 
 
 def detect(model: CharNgramModel, df: DataFrame, id_col: str, text_col: str, k: int = 3) -> DataFrame:
@@ -63,11 +71,18 @@ def detect(model: CharNgramModel, df: DataFrame, id_col: str, text_col: str, k:
     padded = df.select(F.col(id_col).alias("__id"), ngram_text(text_col).alias("__p"))
     totals = padded.select("__id", char_ngram_count("__p", model.n).cast("double").alias("__T"))
     grams = padded.select("__id", F.explode(char_ngrams("__p", model.n)).alias("g"))
-    if model.model_rows <= BROADCAST_MODEL_ROWS:
-        # Broadcast model: a document's grams never leave its partition; the
-        # (doc, language) partial sums collapse in-partition and only one row
-        # per (doc, language) is shuffled.
-        per_lang = grams.join(F.broadcast(model.grams), "g").groupBy("__id", "label").agg(F.sum("delta").alias("__s"))
+    labels = model.labels
+    if model.vocab_size * max(len(labels), 1) <= BROADCAST_MODEL_ROWS:
+        # Broadcast model, one row per gram with every language's delta: each
+        # gram matches at most one row (no fan-out), a document's grams never
+        # leave its partition, and the per-document sums collapse map-side, so
+        # only one row per document is shuffled.
+        sums = grams.join(F.broadcast(wide_model(model)), "g").groupBy("__id").agg(
+            *[F.sum(F.col("d")[i]).alias(f"__s{i}") for i in range(len(labels))]
+        )
+        seen = sums.select("__id", F.map_from_arrays(
+            F.array(*[F.lit(lab) for lab in labels]), F.array(*[F.col(f"__s{i}") for i in range(len(labels))])
+        ).alias("__m"))
     else:
         # Large model: grams are shuffled by g anyway, so count them per doc
         # first; AQE splits skewed (frequent-gram) partitions of the join.
@@ -75,7 +90,7 @@ def detect(model: CharNgramModel, df: DataFrame, id_col: str, text_col: str, k:
         per_lang = doc_grams.join(model.grams, "g").groupBy("__id", "label").agg(
             F.sum(F.col("__k") * F.col("delta")).alias("__s")
         )
-    seen = per_lang.groupBy("__id").agg(F.map_from_entries(F.collect_list(F.struct("label", "__s"))).alias("__m"))
+        seen = per_lang.groupBy("__id").agg(F.map_from_entries(F.collect_list(F.struct("label", "__s"))).alias("__m"))
     floors = model.floors
     entries = F.array(
         *[F.struct(F.lit(lab).alias("lang"), F.lit(floors[lab]).alias("fl")) for lab in model.labels]
