@@ -106,3 +106,17 @@ def test_predictions_csv(spark, tmp_dir):
     K.write_predictions(df, out)
     back = R.read_csv(spark, out).select(F.from_json("labels", "array<string>").alias("l")).first()["l"]
     assert back == ["A", "B"]
+
+
+def test_other_sinks(spark, tmp_dir):
+    df = spark.createDataFrame([("eng", "a", "train"), ("fra", "b", "dev")], "language string, sentence string, split string")
+    K.append_jsonl(df, os.path.join(tmp_dir, "j"))
+    K.append_jsonl(df, os.path.join(tmp_dir, "j"))
+    assert spark.read.json(os.path.join(tmp_dir, "j")).count() == 4
+    K.append_summary(df.limit(1), os.path.join(tmp_dir, "s"))
+    K.append_summary(df.limit(1), os.path.join(tmp_dir, "s"))
+    assert spark.read.parquet(os.path.join(tmp_dir, "s")).count() == 2
+    K.write_json_summary(df.groupBy().count(), os.path.join(tmp_dir, "g"))
+    assert spark.read.json(os.path.join(tmp_dir, "g")).first()["count"] == 2
+    K.write_split(df, os.path.join(tmp_dir, "sp"))
+    assert {d for d in os.listdir(os.path.join(tmp_dir, "sp")) if d.startswith("split=")} == {"split=dev", "split=train"}
