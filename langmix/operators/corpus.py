@@ -215,3 +215,15 @@ def distinct_labels(df: DataFrame, label: str) -> DataFrame:
 def sample_rows(df: DataFrame, n: int, id_col: str, seed: int | str = 42) -> DataFrame:
     """N rows in reproducible md5 order (a top-n, so Spark keeps a bounded heap per task)."""
     return df.withColumn("__h", md5_order(id_col, seed)).orderBy("__h", id_col).limit(n).drop("__h")
+
+
+def shuffle_rows(df: DataFrame, id_col: str, seed: int | str = 42, local: bool = False) -> DataFrame:
+    """Reproducible permutation by ``md5('<seed>:<id>')``.
+
+    ``local=True`` is the chunk shuffle: each partition is permuted in place
+    (``sortWithinPartitions``, no exchange), like shuffling fixed-size chunks
+    and concatenating them. The default is a full permutation: a range-partitioned
+    global sort, which is distributed (sampled range bounds, no single task)."""
+    keyed = df.withColumn("__h", md5_order(id_col, seed))
+    out = keyed.sortWithinPartitions("__h", id_col) if local else keyed.orderBy("__h", id_col)
+    return out.drop("__h")

@@ -45,3 +45,12 @@ def test_safe_map(spark):
     mapped, rejects = U.safe_map(df, "s", F.expr("try_cast(s AS int)").cast("string"), "v")
     assert sorted((r["s"], r["v"]) for r in mapped.collect() if r["s"]) == [("12", "12"), ("x", "x")]
     assert [r["s"] for r in rejects.collect()] == ["x"]
+
+
+def test_shuffle_rows(spark):
+    df = spark.range(200).withColumnRenamed("id", "doc_id")
+    full = [r["doc_id"] for r in C.shuffle_rows(df.repartition(4), "doc_id").collect()]
+    again = [r["doc_id"] for r in C.shuffle_rows(df.repartition(9), "doc_id").collect()]
+    assert full == again and sorted(full) == list(range(200)) and full != list(range(200))
+    local = C.shuffle_rows(df.repartition(4, "doc_id"), "doc_id", local=True)
+    assert local.rdd.getNumPartitions() == 4 and sorted(r["doc_id"] for r in local.collect()) == list(range(200))
