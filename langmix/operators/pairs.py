@@ -33,12 +33,16 @@ def doc_pairs(corpus: DataFrame, seed: str = "pair:42", extra: list[str] | None
     cols = ["doc_id", "sentence", "data_lang", "language", "dataset", *(extra or [])]
     h = md5_order("doc_id", seed)
     ranked = corpus.select(*cols, h.alias("__h")).withColumn("__b", F.substring("__h", 1, d))
-    ranked = ranked.withColumn("__rn", F.row_number().over(Window.partitionBy("__b").orderBy("__h", "doc_id")))
-    ranked = ranked.withColumn("__pn", F.floor((F.col("__rn") + 1) / 2))
-    a = ranked.filter(F.col("__rn") % 2 == 1).select("__b", "__pn", *[F.col(c).alias(f"{c}_a") for c in cols])
-    b = ranked.filter(F.col("__rn") % 2 == 0).select("__b", "__pn", *[F.col(c).alias(f"{c}_b") for c in cols])
-    pairs = a.join(b, ["__b", "__pn"], "inner").filter(F.col("language_a") != F.col("language_b"))
-    return pairs.withColumn("pair_id", F.col("doc_id_a")).drop("__b", "__pn")
+    w = Window.partitionBy("__b").orderBy("__h", "doc_id")
+    # one exchange: the partner is the next row of the same ordered bucket
+    paired = ranked.select(
+        F.row_number().over(w).alias("__rn"),
+        *[F.col(c).alias(f"{c}_a") for c in cols],
+        *[F.lead(c).over(w).alias(f"{c}_b") for c in cols],
+    )
+    pairs = paired.filter((F.col("__rn") % 2 == 1) & F.col("doc_id_b").isNotNull())
+    pairs = pairs.filter(F.col("language_a") != F.col("language_b"))
+    return pairs.withColumn("pair_id", F.col("doc_id_a")).drop("__rn")
 
 
 def pairs_with_data(pairs: DataFrame, a: str, b: str) -> DataFrame:
