@@ -9,10 +9,13 @@ from langmix.functions.text import label_line
 
 
 def write_shards(df: DataFrame, path: str, keys: tuple[str, ...] = ("dataset", "language"), mode: str = "append") -> None:
-    """K1: one directory per ``(dataset, language)``. Repartitioning by the keys
-    makes each task write whole shards (few files per shard); full codes are
-    kept as keys, so ``zh-CN``/``zh-TW`` never collide (D3)."""
-    df.repartition(*keys).write.mode(mode).partitionBy(*keys).parquet(path)
+    """K1: one directory per ``(dataset, language)``; full codes are kept as
+    keys, so ``zh-CN``/``zh-TW`` never collide (D3).
+
+    ``rebalance`` groups rows by the keys (few files per shard) but lets AQE
+    split a skewed shard over several tasks and merge small ones, so a shard
+    holding a third of the corpus is not written by one task."""
+    df.hint("rebalance", *keys).write.mode(mode).partitionBy(*keys).parquet(path)
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
