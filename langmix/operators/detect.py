@@ -59,6 +59,30 @@ def fit_char_ngram(train: DataFrame, text_col: str, label_col: str, n: int = 3)
     return CharNgramModel(n, model, floors, stats["rows"], stats["v"])
 
 
+def fit_char_ngram_multi(train: DataFrame, text_col: str, label_col: str, ns=(1, 2, 3)) -> dict[int, CharNgramModel]:
+    """Fit several n-gram orders from one scan: the grams of every order are
+    exploded together and counted by one grouped aggregate keyed by ``n``."""
+    padded = train.select(F.col(label_col).alias("label"), ngram_text(text_col).alias("__p"))
+    def tag(n: int):
+        # a one-argument lambda: Spark would read a second parameter as the index
+        return F.transform(char_ngrams("__p", n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
+
+    tagged = F.concat(*[tag(n) for n in ns])
+    grams = padded.select("label", F.inline(tagged))
+    counts = grams.groupBy("n", "label", "g").agg(F.count(F.lit(1)).alias("c")).checkpoint()
+    stats = {r["n"]: r for r in counts.groupBy("n").agg(
+        F.countDistinct("g").alias("v"), F.count(F.lit(1)).alias("rows")).collect()}
+    totals = counts.groupBy("n", "label").agg(F.sum("c").alias("tot")).collect()
+    models = {}
+    for n in ns:
+        st = stats.get(n)
+        v, rows = (st["v"], st["rows"]) if st else (0, 0)
+        floors = {r["label"]: -math.log(r["tot"] + v) for r in totals if r["n"] == n}
+        grams_n = counts.filter(F.col("n") == n).select("label", "g", F.log(F.col("c") + 1).alias("delta"))
+        models[n] = CharNgramModel(n, grams_n, floors, rows, v)
+    return models
+
+
 def wide_model(model: CharNgramModel) -> DataFrame:
     """One row per gram: ``d`` = array of deltas in label order (0 where unseen)."""
     labels = model.labels

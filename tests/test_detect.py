@@ -38,3 +38,14 @@ def test_topk_probabilities(spark):
         assert len(probs) == 3 and probs == sorted(probs, reverse=True) and abs(sum(probs) - 1) < 1e-9
     acc = out.join(docs, "doc_id").agg(F.avg((F.col("pred_lang") == F.col("language")).cast("double"))).first()[0]
     assert acc == 1.0
+
+
+def test_multi_fit_equals_single_fits(spark):
+    docs = _docs(spark)
+    multi = D.fit_char_ngram_multi(docs, "sentence", "language", (1, 2, 3))
+    for n in (1, 2, 3):
+        single = D.fit_char_ngram(docs, "sentence", "language", n)
+        assert multi[n].floors == single.floors and multi[n].vocab_size == single.vocab_size
+        a = sorted(map(tuple, multi[n].grams.collect()))
+        b = sorted(map(tuple, single.grams.collect()))
+        assert a == b
