@@ -120,3 +120,21 @@ def test_other_sinks(spark, tmp_dir):
     assert spark.read.json(os.path.join(tmp_dir, "g")).first()["count"] == 2
     K.write_split(df, os.path.join(tmp_dir, "sp"))
     assert {d for d in os.listdir(os.path.join(tmp_dir, "sp")) if d.startswith("split=")} == {"split=dev", "split=train"}
+
+
+def test_jsonl_lines_parts_and_splits(spark, tmp_dir):
+    p = write(os.path.join(tmp_dir, "a.jsonl"), '{"text": "x", "post_text": "p1"}\n{"text": "y"}\n')
+    rows = sorted((r["text"], r["post_text"]) for r in R.read_jsonl(spark, p, ["text", "post_text"]).collect())
+    assert rows == [("x", "p1"), ("y", None)]
+    q = write(os.path.join(tmp_dir, "l.txt"), " merhaba hello \n\nselam\n")
+    kept = [r["codeswitch_sentence"] for r in R.read_lines(spark, q, "Turkish-English", "src").collect()]
+    assert kept == ["merhaba hello", "selam"]
+    assert R.read_lines(spark, q, "Turkish-English", "src", drop_blank=False).count() == 3
+    d = os.path.join(tmp_dir, "parts")
+    for i in range(2):
+        spark.createDataFrame([(i,)], "b int").write.parquet(os.path.join(d, f"lang_{i}.parquet"))
+    spark.createDataFrame([(9,)], "b int").write.parquet(os.path.join(d, f"other_{9}.parquet"))
+    assert sorted(r["b"] for r in R.read_parquet_parts(spark, d, "lang").collect()) == [0, 1]
+    a = spark.createDataFrame([("t", "x")], "text string, split string")
+    b = spark.createDataFrame([("u",)], "text string")
+    assert R.read_splits([a, b]).count() == 2
