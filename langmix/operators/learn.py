@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -62,14 +63,20 @@ def precision_at_1(pred: DataFrame, gold: str) -> float:
     return pred.agg(F.avg((F.col("pred_lang") == F.col(gold)).cast("double")) * 100).first()[0]
 
 
-def grid_sweep(train: DataFrame, dev: DataFrame, text_col: str, label_col: str, grid: list[dict]) -> list[dict]:
-    """M5: one distributed fit per configuration, scored on the fixed dev split."""
-    results = []
-    for cfg in grid:
+def grid_sweep(train: DataFrame, dev: DataFrame, text_col: str, label_col: str, grid: list[dict],
+               parallelism: int = 2) -> list[dict]:
+    """M5: one distributed fit per configuration, scored on the fixed dev split.
+    Up to ``parallelism`` fits run as concurrent Spark jobs (as MLlib's tuning
+    ``parallelism`` does); results are sorted by dev accuracy, then by config."""
+
+    def run(cfg: dict) -> dict:
         model = fit_word_ngram(train, text_col, label_col, **cfg)
         acc = precision_at_1(predict_word_ngram(model, dev, text_col, cfg.get("n", 2)), label_col)
-        results.append({**cfg, "dev_accuracy": round(acc, 4)})
-    return sorted(results, key=lambda r: -r["dev_accuracy"])
+        return {**cfg, "dev_accuracy": round(acc, 4)}
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        results = list(pool.map(run, grid))
+    return sorted(results, key=lambda r: (-r["dev_accuracy"], sorted(r.items())))
 
 
 def fit_with_early_stop(train: DataFrame, dev: DataFrame, text_col: str, label_col: str, n: int = 2,
