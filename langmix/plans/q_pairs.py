@@ -180,7 +180,29 @@ def pair_uncovered(spark, sf_dir):
     return P.pair_uncovered(doc_pairs(spark, sf_dir), "variety_a", "variety_b", PAIR_HUB)
 
 
-@register("pair_cover")
+_COVER_SQL = f"""pr AS (SELECT l1, l2, row_number() OVER (ORDER BY first_pair, l1, l2) AS rank FROM (
+  SELECT least(va, vb) AS l1, greatest(va, vb) AS l2, min(pair_id) AS first_pair
+  FROM (SELECT pair_id, dataset_a || ':' || data_lang_a AS va, dataset_b || ':' || data_lang_b AS vb FROM pairs)
+  WHERE va <> vb GROUP BY 1, 2)),
+scan(i, seen, took) AS (
+  SELECT 0, CAST([] AS VARCHAR[]), CAST(NULL AS BIGINT)
+  UNION ALL
+  SELECT s.i + 1,
+    CASE WHEN t.take THEN list_concat(s.seen, t.ends) ELSE s.seen END,
+    CASE WHEN t.take THEN t.rank END
+  FROM scan s JOIN (
+    SELECT rank, l1, l2,
+      CASE WHEN l1 = '{PAIR_HUB}' THEN [l2] WHEN l2 = '{PAIR_HUB}' THEN [l1] ELSE [l1, l2] END AS ends
+    FROM pr) p ON p.rank = s.i + 1,
+  LATERAL (SELECT p.rank AS rank, p.ends AS ends,
+    NOT list_has_any(s.seen, p.ends) AS take) t)"""
+
+
+@register(
+    "pair_cover",
+    "WITH RECURSIVE " + S.base(PAIRS_SQL)[len("WITH "):] + ", " + _COVER_SQL
+    + " SELECT l1, l2, CAST(rank AS BIGINT) AS rank FROM pr WHERE rank IN (SELECT took FROM scan WHERE took IS NOT NULL)",
+)
 def pair_cover(spark, sf_dir):
     ranked = P.ranked_pairs(doc_pairs(spark, sf_dir), "variety_a", "variety_b")
     return P.greedy_pair_cover(ranked, PAIR_HUB)

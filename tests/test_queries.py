@@ -14,7 +14,7 @@ FAST_KEYS = [
     "corpus_canonical", "corpus_code_rules", "label_text_roundtrip", "corpus_language_summary",
     "corpus_dataset_summary", "corpus_global_summary", "cap_per_language", "duplicate_stats", "dedup_first",
     "train_dev_split", "source_split_70_30", "source_policy_sample", "parallel_segments", "translation_pairs",
-    "tagged_block_filter", "pair_product", "pair_uncovered", "cs_corpus", "cs_label_distribution", "clean_text",
+    "tagged_block_filter", "pair_product", "pair_uncovered", "pair_cover", "cs_corpus", "cs_label_distribution", "clean_text",
     "clean_tweet", "detect_char_ngram", "confusion", "vocabulary", "encode_padded", "mean_embedding",
     "stream_profile", "resume_left_anti", "eval_sets_report",
 ]
