@@ -40,3 +40,17 @@ def test_bucket_digits():
     assert P.bucket_digits(999) == 0
     assert P.bucket_digits(16000) == 1
     assert P.bucket_digits(600_000_000) == 4
+
+
+def test_doc_pairs_invariants(spark):
+    rows = [(i, f"text {i}", "en" if i % 3 else "de", ["eng", "deu"][i % 3 == 0], f"src{i % 4}") for i in range(300)]
+    corpus = spark.createDataFrame(rows, "doc_id long, sentence string, data_lang string, language string, dataset string")
+    results = []
+    for parts in (1, 7):
+        p = P.doc_pairs(corpus.repartition(parts)).select("pair_id", "doc_id_a", "doc_id_b", "language_a", "language_b")
+        got = sorted(map(tuple, p.collect()))
+        ids = [r[1] for r in got] + [r[2] for r in got]
+        assert len(ids) == len(set(ids))  # every document is in at most one pair
+        assert all(r[3] != r[4] for r in got) and all(r[0] == r[1] for r in got)
+        results.append(got)
+    assert results[0] == results[1] and len(results[0]) > 0
