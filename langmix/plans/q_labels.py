@@ -245,6 +245,41 @@ def multi_hot_labels(spark, sf_dir):
     return kept.select("pair_id", "languages", F.array_join(multi_hot(labels, classes).cast("array<string>"), "").alias("multi_hot"))
 
 
+@register(
+    "doc_label_sets",
+    S.base()
+    + """, sets AS (
+  SELECT c.doc_id, list_sort(list_filter([c.language, CASE WHEN l.quality = 1 THEN 'quality' END,
+      CASE WHEN l.toxic = 1 THEN 'toxic' END], lambda x: x IS NOT NULL)) AS labels
+  FROM corpus c JOIN labels l ON c.doc_id = l.doc_id),
+cls AS (SELECT list_sort(list(DISTINCT x)) AS classes FROM (SELECT unnest(labels) AS x FROM sets))
+SELECT doc_id, array_to_string(labels, '-') AS label_set, CAST(len(labels) AS BIGINT) AS n_labels,
+  array_to_string(list_transform(classes, lambda c: CASE WHEN list_contains(labels, c) THEN '1' ELSE '0' END), '')
+    AS multi_hot
+FROM sets, cls""",
+)
+def doc_label_sets(spark, sf_dir):
+    """F20 on the ``labels`` table: each labelled document's set is its language
+    plus ``quality`` / ``toxic`` when flagged; multi-hot over the sorted classes."""
+    lab = table(spark, sf_dir, "labels")
+    sets = X.corpus(spark, sf_dir).join(lab, "doc_id").select(
+        "doc_id",
+        F.array_sort(F.filter(F.array(
+            F.col("language"),
+            F.when(F.col("quality") == 1, F.lit("quality")),
+            F.when(F.col("toxic") == 1, F.lit("toxic")),
+        ), lambda x: x.isNotNull())).alias("labels"),
+    ).checkpoint()
+    # the class list is a small dimension: languages plus two flags
+    classes = sorted(r["c"] for r in sets.select(F.explode("labels").alias("c")).distinct().collect())
+    return sets.select(
+        "doc_id",
+        F.array_join("labels", "-").alias("label_set"),
+        F.size("labels").cast("long").alias("n_labels"),
+        F.array_join(multi_hot("labels", classes).cast("array<string>"), "").alias("multi_hot"),
+    )
+
+
 # ---------------------------------------------------------------- 28 mean embeddings
 
 

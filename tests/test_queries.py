@@ -15,7 +15,7 @@ FAST_KEYS = [
     "corpus_dataset_summary", "corpus_global_summary", "cap_per_language", "duplicate_stats", "dedup_first",
     "train_dev_split", "source_split_70_30", "source_policy_sample", "parallel_segments", "translation_pairs",
     "tagged_block_filter", "pair_product", "pair_uncovered", "pair_cover", "cs_corpus", "cs_label_distribution", "clean_text",
-    "clean_tweet", "detect_char_ngram", "confusion", "vocabulary", "encode_padded", "mean_embedding",
+    "clean_tweet", "detect_char_ngram", "confusion", "vocabulary", "encode_padded", "mean_embedding", "doc_label_sets",
     "stream_profile", "resume_left_anti", "eval_sets_report",
 ]
 
