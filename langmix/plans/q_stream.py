@@ -63,6 +63,42 @@ def stream_eval(spark, sf_dir):
     return ST.stream_map(spark, stream, score)
 
 
+@register(
+    "stream_ingest_events",
+    """SELECT event_id, user_id, event_type, value, trim(props) AS props FROM events
+WHERE props IS NOT NULL AND trim(props) <> ''""",
+)
+def stream_ingest_events(spark, sf_dir):
+    """ST1/ST4 on the ``events`` table: drop empty records, trim, append grouped by type."""
+    ensure_checkpoint_dir(spark)
+    raw = ST.parquet_stream(spark, sf_dir, "events")
+    clean = raw.filter(F.col("props").isNotNull() & (F.trim("props") != "")).select(
+        "event_id", "user_id", "event_type", "value", F.trim("props").alias("props")
+    )
+    out = scratch_path(spark, "stream-events")
+
+    def sink(batch, batch_id):
+        ST._overwrite_batch(batch, f"{out}/data", batch_id, ("event_type",))
+
+    ST.run_available(clean, sink, f"{out}/_checkpoint")
+    return spark.read.parquet(f"{out}/data").select("event_id", "user_id", "event_type", "value", "props")
+
+
+@register(
+    "benchmark_predictions",
+    S.base(SPLIT_SQL, *detector_ctes(MAIN_N, "train", "language", "benchmark", "item_id", "text", "det"))
+    + """SELECT b.item_id, p.lang AS pred_lang, round(p.prob, 6) AS pred_prob
+FROM benchmark b JOIN det p ON p.id = b.item_id AND p.r = 1""",
+)
+def benchmark_predictions(spark, sf_dir):
+    """The held-out ``benchmark`` items scored by the main detector (M1 on an external set)."""
+    sp = split_corpus(spark, sf_dir).checkpoint()
+    model = fit_char_ngram(X.spread(sp.filter(F.col("split") == "train"), "doc_id"), "sentence", "language", MAIN_N)
+    items = table(spark, sf_dir, "benchmark")
+    pred = model.transform(items, "item_id", "text")
+    return pred.select("item_id", "pred_lang", F.round("pred_prob", 6).alias("pred_prob"))
+
+
 # ---------------------------------------------------------------- 32 resume
 
 
