@@ -17,8 +17,12 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     one is given: a round-robin repartition would sort every row first to stay
     deterministic on retry."""
     spark = df.sparkSession
-    want = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    try:
+        want = spark.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. a remote session without RDD access: leave it to AQE
+        return df
+    if have >= want:
         return df
     return df.repartition(want, key) if key else df.repartition(want)
 
