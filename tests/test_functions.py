@@ -116,3 +116,10 @@ def test_invert_last_wins():
 def test_map_pair_codes(spark):
     m = {"English": "eng_Latn", "German": "deu_Latn"}
     assert one(spark, C.map_pair_codes(F.col("s"), m), "English-Dutch") == ["eng_Latn", "unknown"]
+
+
+def test_tweet_tokens_more(spark):
+    toks = one(spark, T.tweet_tokens("s"), "Soooo gooood!!! ;-) #MeToo @a_b https://t.co/x?y=1 well-known 3.5")
+    assert toks == ["soooo", "gooood", "!", "!", "!", ";-)", "#metoo", "@a_b", "https://t.co/x?y=1", "well-known",
+                    "3", ".", "5"]
+    assert one(spark, T.tweet_tokens("s"), "") == []

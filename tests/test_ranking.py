@@ -85,3 +85,12 @@ def test_bernoulli_rate(spark):
     df = spark.range(20000).withColumnRenamed("id", "doc_id")
     kept = df.filter(C.bernoulli_keep("doc_id", 0.3, "s")).count()
     assert 5600 < kept < 6400
+
+
+def test_head_flag_independent_of_bucket_width(spark):
+    df = _data(spark, n=1500).withColumn("h", md5_order("doc_id"))
+    results = []
+    for prefix in (1, 2, 4):
+        got = head_flag(df, ["language"], "h", "doc_id", lambda n: F.least(n, F.lit(333)), prefix_len=prefix)
+        results.append(sorted((r["doc_id"], r["in_head"]) for r in got.select("doc_id", "in_head").collect()))
+    assert results[0] == results[1] == results[2]
