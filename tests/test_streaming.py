@@ -18,3 +18,14 @@ def test_stream_profile_equals_batch_and_restart_is_idempotent(spark):
     again = canonicalise_documents(ST.parquet_stream(spark, SF_SMALL, "documents"), code_dimension(spark))
     second = sorted(map(tuple, ST.stream_profile(spark, again, out)["language"].collect()))
     assert second == first
+
+
+def test_stream_profile_dataset_and_global_equal_batch(spark):
+    from langmix.operators.corpus import dataset_summary, global_summary
+
+    stream = canonicalise_documents(ST.parquet_stream(spark, SF_SMALL, "documents"), code_dimension(spark))
+    prof = ST.stream_profile(spark, stream)
+    corpus = X.corpus(spark, SF_SMALL)
+    assert sorted(map(tuple, prof["dataset"].collect())) == sorted(map(tuple, dataset_summary(corpus).collect()))
+    g, b = prof["global"].first(), global_summary(corpus).first()
+    assert (g["total_sentences"], g["total_languages"], g["total_datasets"]) == tuple(b)
