@@ -101,7 +101,7 @@ def greedy_pair_cover(ranked: DataFrame, hub: str, max_rounds: int = 10_000) ->
     marked seen and every pair touching a seen end dies. Every pair taken in a
     round is one the sequential scan takes (all smaller-ranked pairs at its
     ends are already dead), so the rounds reproduce the sequential result.
-    Each round's state is ``checkpoint()``-ed to the shared folder, which cuts
+    Each round's live set is ``checkpoint()``-ed to the shared folder, which cuts
     the lineage (the plan would otherwise grow geometrically with rounds).
     """
     spark = ranked.sparkSession
@@ -116,7 +116,9 @@ def greedy_pair_cover(ranked: DataFrame, hub: str, max_rounds: int = 10_000) ->
         cand = cand.join(best.withColumnRenamed("v", "l2").withColumnRenamed("best", "b2"), "l2", "left")
         ok1 = (F.col("l1") == hub) | (F.col("b1") == F.col("rank"))
         ok2 = (F.col("l2") == hub) | (F.col("b2") == F.col("rank"))
-        now = cand.filter(ok1 & ok2).select("l1", "l2", "rank").checkpoint()
+        # ``now`` hangs off the checkpointed ``live`` (short lineage), so caching
+        # is enough; a lost block is recomputed from that checkpoint.
+        now = cand.filter(ok1 & ok2).select("l1", "l2", "rank").cache()
         taken.append(now)
         seen = now.select(F.col("l1").alias("v")).union(now.select(F.col("l2").alias("v"))).filter(F.col("v") != hub)
         live = live.join(seen.withColumnRenamed("v", "l1"), "l1", "left_anti")
