@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from langmix.llm import quality_gbt, quality_knn
 from langmix.llm.encode import tokenizer_path
 from langmix.llm.exact_dedup import exact_dedup
 from langmix.llm.line_dedup import drop_common_lines
 from langmix.llm.mixing import mix
+from langmix.llm.near_dedup import NearDuplicates
 from langmix.llm.packing import pack
 from langmix.llm.token_count import token_counts
 from langmix.llm.token_orc import token_digests, write_token_orc
@@ -25,6 +27,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_knn.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_knn.classify(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-orc")
     write_token_orc(table(spark, sf_dir, "documents"), path, tokenizer_path(WORD_BPE), end_id=2, drops_space=True)
@@ -41,6 +49,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return NearDuplicates(percent=85).run(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "mix_epoch", "mix_block", "mix_tokens", "mix_weight")
@@ -55,7 +67,15 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE), end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_token_orc, op4_url_rules, op5_exact_dedup, op7_mixing, op8_token_count, op9_packing)}
+def op10_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_gbt.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_gbt.judge(docs, model).select("doc_id", *quality_gbt.BASE, "base_failed", "kept")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_line_dedup, op2_quality_knn, op3_token_orc, op4_url_rules, op5_exact_dedup, op6_near_dedup, op7_mixing, op8_token_count, op9_packing,
+    op10_quality_gbt)}
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
