@@ -93,26 +93,27 @@ def mix(docs: DataFrame, tokens: Column | None = None, id_col: str = "doc_id", t
     names = ("mix_epoch", "mix_block", "mix_tokens", "mix_weight")
     kept = [c for c in docs.columns if c.lower() not in names]
     count = tokens if tokens is not None else word_count(F.col(text_col))
-    base = docs.withColumn("__n", F.coalesce(count, F.lit(0)).cast("long"))
-    plan = mixing_plan(base, F.col("__n"), source_col, target_entropy, max_epochs, budget)
+    base = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"),
+                       F.col(source_col).alias("source"), F.coalesce(count, F.lit(0)).cast("long").alias("n"))
+    plan = mixing_plan(base, F.col("n"), "source", target_entropy, max_epochs, budget)
     # whole epochs, and the tokens of the partial one
     plan = plan.withColumn("full", F.floor("epochs").cast("int")).withColumn("rest", F.when(F.col("tokens") > 0, F.col("budget") - F.col("full") * F.col("tokens")).otherwise(F.lit(0)))
     plan = plan.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.lit(block_tokens))).cast("long"))
     plan = stored(plan.select(F.col("source").alias("__source"), "full", "rest", "blocks", "weight"), "mix-plan")
 
-    rows = base.join(plan, F.col(source_col).eqNullSafe(F.col("__source")), "left")
-    place = lambda e: F.xxhash64(F.lit(seed), e, F.col(id_col), F.xxhash64(F.col(text_col)))
+    rows = base.join(plan, F.col("source").eqNullSafe(F.col("__source")), "left")
+    place = lambda e: F.xxhash64(F.lit(seed), e, F.col("id"), F.col("mark"))
     block = lambda h, n: F.pmod(F.shiftrightunsigned(h, 16), n)
-    partial = rows.select("__source", "rest", "blocks", "__n", place(F.col("full")).alias("h")).where("rest > 0")
+    partial = rows.select("__source", "rest", "blocks", "n", place(F.col("full")).alias("h")).where("rest > 0")
     partial = partial.withColumn("b", block(F.col("h"), F.col("blocks")))
-    sums = partial.groupBy("__source", "rest", "b").agg(F.sum("__n").alias("n"))
+    sums = partial.groupBy("__source", "rest", "b").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("__source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
     crossing = sums.where("start < rest and start + n >= rest").select(
         F.col("__source").alias("s"), F.col("b").alias("cross"), (F.col("rest") - F.col("start")).alias("room"))
-    # hashes of the crossing block alone, in order: the first that starts beyond the room is the cut
+    # hashes of the crossing block alone, in order: the last that starts within the room is the cut
     inside = partial.join(crossing, F.col("__source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("cross")))
-    same = inside.groupBy("s", "cross", "room", "h").agg(F.sum("__n").alias("n"))
+    same = inside.groupBy("s", "cross", "room", "h").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("s").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
     cuts = same.withColumn("start", F.coalesce(F.sum("n").over(order), F.lit(0))).where("start < room").groupBy("s", "cross").agg(F.max("h").alias("cut"))
     cuts = stored(cuts, "mix-cuts")
@@ -121,7 +122,7 @@ def mix(docs: DataFrame, tokens: Column | None = None, id_col: str = "doc_id", t
     h = place(F.col("full"))
     b = block(h, F.col("blocks"))
     extra = (F.col("rest") > 0) & ((b < F.col("cross")) | ((b == F.col("cross")) & (h <= F.col("cut"))))
-    n = F.col("full") + F.when(F.coalesce(extra, F.lit(False)), F.lit(1)).otherwise(F.lit(0))
-    dealt = rows.withColumn("__e", F.explode(F.filter(F.sequence(F.lit(0), n), lambda e: e < n)))
-    return dealt.select(*(F.col(f"`{c}`") for c in kept), F.col("__e").alias("mix_epoch"),
-                        block(place(F.col("__e")), F.col("blocks")).alias("mix_block"), F.col("__n").alias("mix_tokens"), F.col("weight").alias("mix_weight"))
+    times = F.col("full") + F.when(F.coalesce(extra, F.lit(False)), F.lit(1)).otherwise(F.lit(0))
+    dealt = rows.withColumn("e", F.explode(F.filter(F.sequence(F.lit(0), times), lambda e: e < times)))
+    return dealt.select("row.*", F.col("e").alias("mix_epoch"), block(place(F.col("e")), F.col("blocks")).alias("mix_block"),
+                        F.col("n").alias("mix_tokens"), F.col("weight").alias("mix_weight"))
