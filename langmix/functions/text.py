@@ -71,7 +71,7 @@ def clean_text(c) -> Column:
 
 def clean_tweet(c) -> Column:
     """drop @handles, strip, collapse whitespace."""
-    s = F.regexp_replace(col_(c), r"@\S+", "")
+    s = F.regexp_replace(col_(c), r"(?U)@\S+", "")
     s = strip_ws(s)
     return F.regexp_replace(s, r"(?U)\s+", " ")
 

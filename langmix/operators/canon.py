@@ -148,7 +148,7 @@ def canonicalise_cs(df: DataFrame, spec: CodeSwitchSpec) -> DataFrame:
     out = df
     if spec.drop_category:
         col, value = spec.drop_category
-        out = out.filter(F.trim(F.col(col)) != value.strip())
+        out = out.filter(F.coalesce(F.trim(F.col(col)) != value.strip(), F.lit(True)))
     if spec.equals:
         col, value = spec.equals
         out = out.filter(F.col(col) == value)
@@ -162,10 +162,12 @@ def canonicalise_cs(df: DataFrame, spec: CodeSwitchSpec) -> DataFrame:
         out = out.withColumn("codeswitch_sentence", strip_ws("codeswitch_sentence"))
     if spec.nonempty:
         out = out.filter(F.col("codeswitch_sentence") != "")
+    if spec.head is not None and not keep:
+        raise ValueError(f"the first {spec.head} rows need the column {spec.order_col}")
     if spec.dedup and keep:
         out = dedup_first(out, ["codeswitch_sentence"], spec.order_col)
     elif spec.dedup:
         out = out.dropDuplicates(["codeswitch_sentence"])
-    if spec.head is not None and keep:
+    if spec.head is not None:
         out = out.orderBy(spec.order_col).limit(spec.head)
     return out.select("codeswitch_sentence", "languages", F.lit(spec.source).alias("dataset_source"))

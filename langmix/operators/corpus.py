@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from langmix.functions import text as T
 from langmix.functions.codes import iso3_lenient
 from langmix.operators.ranking import head_flag, md5_order
+from langmix.session import stored
 
 CANONICAL = ["sentence", "data_lang", "language", "dataset"]
 
@@ -103,14 +104,27 @@ def duplicate_stats(corpus: DataFrame, sentence: str = "sentence") -> DataFrame:
 
 
 def dedup_first(df: DataFrame, key_cols: list[str], order_col: str) -> DataFrame:
-    """Keep the first row (smallest ``order_col``) of each key.
+    """Keep the first row (smallest ``order_col``, nulls last) of each key; null keys are keys like others.
 
     The key is hashed so the shuffle is small; ``min`` is partially aggregated,
-    so a key that holds a third of all rows collapses map-side. The winners
-    are then semi-joined back by the unique ``order_col``."""
-    h = F.md5(F.concat_ws("\u0001", *[F.col(c) for c in key_cols]))
-    firsts = df.groupBy(h.alias("__h")).agg(F.min(order_col).alias(order_col)).select(order_col)
-    return df.join(firsts, on=order_col, how="left_semi")
+    so a key that holds a third of all rows collapses map-side. Only keys with
+    more than one row are met again: rows are dropped by a left join with that
+    table, and rows that tie at the first place of a key are reduced to one."""
+    h = F.md5(F.to_json(F.struct(*[F.col(c) for c in key_cols])))
+    order = F.struct(F.col(order_col).isNull().alias("none"), F.col(order_col).alias("at"))
+    keys = df.groupBy(h.alias("__h")).agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("__n"))
+    many = stored(keys.where("__n > 1").select("__h", "__first"), "dedup-keys")
+    tied = (
+        df.select(h.alias("__h"), order.alias("__first")).join(many, ["__h", "__first"], "left_semi")
+        .groupBy("__h").agg(F.count(F.lit(1)).alias("__k")).where("__k > 1").select("__h")
+    )
+    kept = df.withColumn("__h", h).join(many.select("__h", "__first"), "__h", "left").where(
+        F.col("__first").isNull() | (F.col("__first") == order))
+    tied = stored(tied, "dedup-ties")
+    if tied.isEmpty():
+        return kept.drop("__h", "__first")
+    single = kept.join(tied, "__h", "left_anti")
+    return single.unionByName(kept.join(tied, "__h", "left_semi").dropDuplicates(["__h"])).drop("__h", "__first")
 
 
 def cap_per_language(
@@ -147,7 +161,7 @@ def split_by_rank(
 
 def hash_threshold(p: float) -> str:
     """8-hex-digit threshold so that ``substr(md5, 1, 8) < t`` has probability p."""
-    return format(min(int(p * 2**32), 2**32 - 1), "08x")
+    return "g" if p >= 1 else format(int(p * 2**32), "08x")  # "g" is above every hex digit
 
 
 def bernoulli_keep(id_col: str, p: float, seed: int | str) -> F.Column:
@@ -164,8 +178,8 @@ def source_policy(
     id_col: str = "doc_id",
     seed: str = "sample:42",
 ) -> DataFrame:
-    """Drop some sources, keep a fraction ``p`` of others, keep the rest."""
-    src = F.col(source_col)
+    """Drop some sources, keep a fraction ``p`` of others, keep the rest (rows without a source too)."""
+    src = F.coalesce(F.col(source_col), F.lit(""))
     return df.filter(
         ~src.isin(*drop) & (~src.isin(*downsample) | bernoulli_keep(id_col, p, seed))
     )

@@ -29,7 +29,7 @@ DEFAULT_BUCKETS = 1 << 18
 
 def word_ngram_features(df: DataFrame, text_col: str, n: int) -> DataFrame:
     """Whitespace tokens of the lower-cased text plus all 2..n word n-grams in ``__grams``."""
-    toks = df.withColumn("__t1", F.filter(F.split(F.lower(F.col(text_col)), r"\s+"), lambda x: x != ""))
+    toks = df.withColumn("__t1", F.filter(F.split(F.lower(F.col(text_col)), r"(?U)\s+"), lambda x: x != ""))
     cols = ["__t1"]
     for k in range(2, n + 1):
         toks = NGram(n=k, inputCol="__t1", outputCol=f"__t{k}").transform(toks)
@@ -51,16 +51,20 @@ def fit_word_ngram(train: DataFrame, text_col: str, label_col: str, n: int = 2,
 
 
 def predict_word_ngram(model: PipelineModel, df: DataFrame, text_col: str, n: int) -> DataFrame:
-    """M4 (top-1): predicted label and its probability."""
+    """M4 (top-1): predicted label and its probability, for every row: the label indexer plays no part in
+    prediction, so rows whose gold label training never saw (or is null) are predicted too."""
     labels = model.stages[0].labels
-    out = model.transform(word_ngram_features(df, text_col, n))
+    out = word_ngram_features(df, text_col, n)
+    for stage in model.stages[1:]:
+        out = stage.transform(out)
     out = IndexToString(inputCol="__yhat", outputCol="pred_lang", labels=labels).transform(out)
     return out.withColumn("pred_prob", F.array_max(vector_to_array("__p"))).drop("__grams", "__x", "__raw", "__p", "__yhat")
 
 
 def precision_at_1(pred: DataFrame, gold: str) -> float:
-    """Share of rows whose top label is right, in %."""
-    return pred.agg(F.avg((F.col("pred_lang") == F.col(gold)).cast("double")) * 100).first()[0]
+    """Share of all rows whose top label is right, in %; a row without a gold label is not right."""
+    right = F.coalesce(F.col("pred_lang") == F.col(gold), F.lit(False))
+    return pred.agg(F.avg(right.cast("double")) * 100).first()[0] or 0.0
 
 
 def grid_sweep(train: DataFrame, dev: DataFrame, text_col: str, label_col: str, grid: list[dict],

@@ -109,8 +109,8 @@ def resource_lang_groups(df: DataFrame, classes: DataFrame, model: str = "model"
     Rows whose class is null are dropped (as a pandas group-by does)."""
     joined = df.join(F.broadcast(classes), "lang_code", "left").filter(F.col("class").isNotNull())
     return joined.groupBy(model, "lang_code", "class").agg(
-        F.round(F.avg("f1"), 6).alias("f1"),
-        F.round(F.avg("fpr"), 6).alias("fpr"),
+        F.avg("f1").alias("f1"),
+        F.avg("fpr").alias("fpr"),
         F.count(F.lit(1)).alias("sample_size"),
     )
 
@@ -134,7 +134,7 @@ def lowest_per_class(df: DataFrame, classes: DataFrame, k: int = 5) -> DataFrame
     """Per class the k languages with the lowest mean f1 (ties by code)."""
     joined = df.join(F.broadcast(classes), "lang_code", "left").filter(F.col("class").isNotNull())
     g = joined.groupBy("class", "lang_code").agg(
-        F.round(F.avg("f1"), 6).alias("f1_mean"), F.count(F.lit(1)).alias("sample_data")
+        F.avg("f1").alias("f1_mean"), F.count(F.lit(1)).alias("sample_data")
     )
     w = Window.partitionBy("class").orderBy("f1_mean", "lang_code")
     return g.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)

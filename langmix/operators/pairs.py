@@ -2,47 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from langmix.operators.ranking import global_rank, md5_order
+from langmix.operators.ranking import global_rank
 
-ROWS_PER_BUCKET = 1000
+def doc_pairs(corpus: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """Pair document ``2k`` with document ``2k + 1``.
 
-
-def bucket_digits(n: int, rows_per_bucket: int = ROWS_PER_BUCKET, max_digits: int = 6) -> int:
-    """Hex digits of the pairing bucket: 16^d buckets with >= rows_per_bucket rows each."""
-    d = 0
-    while d < max_digits and n >= rows_per_bucket * 16 ** (d + 1):
-        d += 1
-    return d
-
-
-def doc_pairs(corpus: DataFrame, seed: str = "pair:42", extra: list[str] | None = None) -> DataFrame:
-    """Pair each document with its neighbour in md5 order inside a hash bucket;
-    keep pairs of two different languages.
-
-    Rows are bucketed by a prefix of ``md5(seed:id)`` whose length grows with
-    the corpus (about ``ROWS_PER_BUCKET``..16x rows per bucket), so the
-    ``row_number`` window never holds more than a bounded slice, whatever the
-    language skew. Output: ``pair_id`` (= first doc), both docs' id, language,
-    data_lang, dataset and sentence as ``*_a`` / ``*_b``.
+    The pair's key comes from the row itself, so the pairs do not depend on the
+    size of the corpus and meet in one hash join; no key has more than two rows.
+    Pairs of one language are kept: jobs that need two languages say so. Output:
+    ``pair_id`` (= first doc), both docs' id, language, data_lang, dataset and
+    sentence as ``*_a`` / ``*_b``. A document without its partner has no pair.
     """
-    n = corpus.count()
-    d = bucket_digits(n)
     cols = ["doc_id", "sentence", "data_lang", "language", "dataset", *(extra or [])]
-    h = md5_order("doc_id", seed)
-    ranked = corpus.select(*cols, h.alias("__h")).withColumn("__b", F.substring("__h", 1, d))
-    w = Window.partitionBy("__b").orderBy("__h", "doc_id")
-    # one exchange: the partner is the next row of the same ordered bucket
-    paired = ranked.select(
-        F.row_number().over(w).alias("__rn"),
-        *[F.col(c).alias(f"{c}_a") for c in cols],
-        *[F.lead(c).over(w).alias(f"{c}_b") for c in cols],
-    )
-    pairs = paired.filter((F.col("__rn") % 2 == 1) & F.col("doc_id_b").isNotNull())
-    pairs = pairs.filter(F.col("language_a") != F.col("language_b"))
-    return pairs.withColumn("pair_id", F.col("doc_id_a")).drop("__rn")
+    side = F.pmod(F.col("doc_id"), F.lit(2))
+    first = corpus.where(side == 0).select(*[F.col(c).alias(f"{c}_a") for c in cols])
+    second = corpus.where(side == 1).select((F.col("doc_id") - 1).alias("pair_id"), *[F.col(c).alias(f"{c}_b") for c in cols])
+    return first.join(second, first["doc_id_a"] == second["pair_id"])
+
+
+def two_languages(pairs: DataFrame) -> DataFrame:
+    """The pairs whose sides differ in language."""
+    return pairs.where(F.col("language_a") != F.col("language_b"))
 
 
 def pairs_with_data(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -86,11 +69,10 @@ def pair_uncovered(pairs: DataFrame, a: str, b: str, hub: str) -> DataFrame:
 def ranked_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Pairs with data in scan order: first occurrence in the pair table, then names."""
     u = pairs_with_data(pairs, a, b)
-    coarse = [(F.expr("first_pair div 65536"), True)]
-    return global_rank(u, coarse, [F.col("first_pair"), F.col("l1"), F.col("l2")]).select("l1", "l2", "rank")
+    return global_rank(u, [F.col("first_pair"), F.col("l1"), F.col("l2")]).select("l1", "l2", "rank")
 
 
-def greedy_pair_cover(ranked: DataFrame, hub: str, max_rounds: int = 10_000) -> DataFrame:
+def greedy_pair_cover(ranked: DataFrame, hub: str) -> DataFrame:
     """Sequential greedy cover, computed in parallel rounds.
 
     Sequential rule (scan by ``rank``): a hub pair (hub, X) is taken when X is
@@ -107,9 +89,7 @@ def greedy_pair_cover(ranked: DataFrame, hub: str, max_rounds: int = 10_000) ->
     spark = ranked.sparkSession
     live = ranked.select("l1", "l2", "rank").checkpoint()
     taken = []
-    for _ in range(max_rounds):
-        if live.isEmpty():
-            break
+    while not live.isEmpty():  # each round takes the smallest live rank at least
         ends = live.select(F.col("l1").alias("v"), "rank").union(live.select(F.col("l2").alias("v"), "rank"))
         best = ends.filter(F.col("v") != hub).groupBy("v").agg(F.min("rank").alias("best"))
         cand = live.join(best.withColumnRenamed("v", "l1").withColumnRenamed("best", "b1"), "l1", "left")
@@ -129,19 +109,3 @@ def greedy_pair_cover(ranked: DataFrame, hub: str, max_rounds: int = 10_000) ->
     for t in taken[1:]:
         out = out.unionByName(t)
     return out
-
-
-def greedy_pair_cover_reference(pairs: list[tuple[str, str]], hub: str) -> list[tuple[str, str]]:
-    """Sequential rule on a small in-memory list; used by the property test."""
-    seen: set[str] = set()
-    out = []
-    for l1, l2 in pairs:
-        if hub in (l1, l2):
-            other = l2 if l1 == hub else l1
-            if other not in seen:
-                seen.add(other)
-                out.append((l1, l2))
-        elif l1 not in seen and l2 not in seen:
-            seen.update([l1, l2])
-            out.append((l1, l2))
-    return out

@@ -2,15 +2,19 @@
 
 ``row_number() over (partition by g order by h)`` puts every row of a group in
 one task; a language that holds a third of the corpus would then be sorted by a
-single core. These operators get the same exact answer in a scalable way:
+single core. :func:`head_flag` finds the cutoff of each group instead:
 
 1. histogram the rows on a short prefix of the (uniform) order hash:
    ``groupBy(g, prefix).count()`` -- partial aggregation, tiny output;
 2. a running sum over that small table finds, per group, the bucket that holds
    the boundary rank;
-3. rows in buckets wholly below the boundary are kept, rows above are dropped,
-   and only the one boundary bucket per group is ranked by a window -- about
-   ``1/16^prefix_len`` of the group.
+3. inside that bucket the same is done with a longer prefix, and only the rows
+   of the last bucket (about ``1/16^(2 * prefix_len)`` of the group) are ranked.
+
+The cutoffs, one row per group, are joined to the rows, which are not shuffled
+as long as the planner finds the cutoffs small enough to broadcast.
+:func:`global_rank` deals rows by ranges of the order and adds the sizes of the
+ranges before.
 """
 
 from __future__ import annotations
@@ -20,9 +24,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_B = "__lm_bucket"
-_STATUS = "__lm_status"
-_REMAIN = "__lm_remaining"
+from langmix.session import stored
+
+#: Above every hex digit: closes a prefix from above.
+_TOP = "g"
 
 
 def md5_order(id_col, seed: int | str = 42) -> Column:
@@ -31,6 +36,17 @@ def md5_order(id_col, seed: int | str = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), c.cast("string")))
 
 
+def _reach(rows: DataFrame, width: int) -> DataFrame:
+    """Per part, the last bucket (prefix of ``width``) that the limit reaches into: its ``n`` rows, of which the first
+    ``limit`` are within the limit. Parts with a limit of 0 have none."""
+    hist = rows.groupBy("part", "limit", F.substring("o", 1, width).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    run = Window.partitionBy("part").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cum = hist.withColumn("cum", F.sum("n").over(run)).withColumn("left", F.col("limit") - (F.col("cum") - F.col("n")))
+    last = Window.partitionBy("part").orderBy(F.desc("bucket"))
+    reached = cum.where("left > 0").withColumn("k", F.row_number().over(last)).where("k = 1")
+    return reached.select("part", "bucket", F.col("left").alias("limit"), "n")
+
+
 def head_flag(
     df: DataFrame,
     part_cols: Sequence[str],
@@ -44,71 +60,44 @@ def head_flag(
 
     ``limit_fn`` receives the group's total row count and returns its limit
     (e.g. ``lambda n: F.floor(n * 0.9)``). ``order_col`` must be a uniform hex
-    hash string so its prefix spreads rows evenly over ``16^prefix_len``
-    buckets; ``tie_col`` must be unique per row.
-
-    Only narrow ``(part, bucket, order, tie)`` columns feed the histogram and
-    the boundary ranking; the wide rows are read once and joined with two small
-    tables (bucket status: ``16^prefix_len`` rows per group; boundary flags: about
-    ``1/16^prefix_len`` of the rows) that AQE broadcasts when they fit.
+    hash string, so its prefixes spread rows evenly; ``tie_col`` must be unique
+    per row. Rows with null group columns form groups like any other.
     """
-    part = list(part_cols)
-    bucket = F.substring(F.col(order_col), 1, prefix_len)
-    narrow = df.select(*part, bucket.alias(_B), order_col, tie_col)
-    hist = narrow.groupBy(*part, _B).agg(F.count(F.lit(1)).alias("__n"))
-    run = Window.partitionBy(*part).orderBy(_B).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*part)
-    status = (
-        hist.withColumn("__cum", F.sum("__n").over(run))
-        .withColumn("__total", F.sum("__n").over(whole))
-        .withColumn("__limit", limit_fn(F.col("__total")))
-        .withColumn("__prev", F.col("__cum") - F.col("__n"))
-        .select(
-            *part,
-            _B,
-            F.when(F.col("__cum") <= F.col("__limit"), F.lit("all"))
-            .when(F.col("__prev") >= F.col("__limit"), F.lit("none"))
-            .otherwise(F.lit("partial"))
-            .alias(_STATUS),
-            (F.col("__limit") - F.col("__prev")).alias(_REMAIN),
-        )
-    )
-    boundary = Window.partitionBy(*part, _B).orderBy(order_col, tie_col)
-    partial = (
-        narrow.join(status.filter(F.col(_STATUS) == "partial"), [*part, _B], "inner")
-        .withColumn("__rn", F.row_number().over(boundary))
-        .select(tie_col, (F.col("__rn") <= F.col(_REMAIN)).alias("__pflag"))
+    part = F.struct(*[F.col(c) for c in part_cols]) if part_cols else F.lit(0)
+    rows = df.select(part.alias("part"), F.col(order_col).alias("o"), F.col(tie_col).alias("t"))
+    totals = rows.groupBy("part").agg(F.count(F.lit(1)).alias("total"))
+    limits = stored(totals.select("part", "total", limit_fn(F.col("total")).cast("long").alias("limit")), "rank-limits")
+    first = stored(_reach(rows.join(limits.select("part", "limit"), "part"), prefix_len), "rank-buckets")
+    open_rows = rows.join(first.where("limit < n").select("part", "bucket", "limit"), "part").where(F.substring("o", 1, prefix_len) == F.col("bucket"))
+    second = stored(_reach(open_rows.drop("bucket"), 2 * prefix_len), "rank-buckets")
+    last = rows.join(second.where("limit < n").select("part", "bucket", "limit"), "part").where(F.substring("o", 1, 2 * prefix_len) == F.col("bucket"))
+    ranked = last.withColumn("rn", F.row_number().over(Window.partitionBy("part").orderBy("o", "t")))
+    cuts = ranked.where("rn = limit").select("part", F.col("o").alias("cut"), F.col("t").alias("cut_tie"))
+    whole = F.concat("bucket", F.lit(_TOP)).alias("cut")
+    none = F.lit(None).cast(rows.schema["t"].dataType).alias("cut_tie")
+    cuts = cuts.unionByName(first.where("limit >= n").select("part", whole, none)).unionByName(second.where("limit >= n").select("part", whole, none))
+    cuts = stored(cuts, "rank-cutoffs").select(F.col("part").alias("__part"), F.col("cut").alias("__cut"), F.col("cut_tie").alias("__tie"))
+    o, t = F.col(order_col), F.col(tie_col)
+    inside = (o < F.col("__cut")) | ((o == F.col("__cut")) & (t <= F.col("__tie")))
+    return (
+        df.join(cuts, part == F.col("__part"), "left").withColumn(flag, F.coalesce(inside, F.lit(False))).drop("__part", "__cut", "__tie")
     )
-    wide = df.withColumn(_B, bucket).join(status.select(*part, _B, _STATUS), [*part, _B], "inner")
-    wide = wide.join(partial, tie_col, "left")
-    return wide.withColumn(
-        flag, F.when(F.col(_STATUS) == "all", True).when(F.col(_STATUS) == "none", False).otherwise(F.col("__pflag"))
-    ).drop(_B, _STATUS, "__pflag")
 
 
-def global_rank(
-    df: DataFrame,
-    coarse: Sequence[tuple[Column, bool]],
-    order: Sequence[Column],
-    rank_col: str = "rank",
-) -> DataFrame:
+def global_rank(df: DataFrame, order: Sequence[Column], rank_col: str = "rank") -> DataFrame:
     """Exact 1-based global rank by ``order`` without a single-partition window.
 
-    ``coarse`` is a list of ``(expression, ascending)`` whose ordering is
-    consistent with ``order`` (it never contradicts it). Rank is
-    ``offset(coarse group) + row_number() within the coarse group``; offsets
-    come from a running sum over the small table of coarse-group counts.
-    """
-    keys = [f"__k{i}" for i in range(len(coarse))]
-    keyed = df.select("*", *[c.alias(k) for (c, _), k in zip(coarse, keys)])
-    counts = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    # One row per coarse group: keep coarse keys small (a count, a short prefix).
-    order_keys = [F.col(k).asc() if asc else F.col(k).desc() for (_, asc), k in zip(coarse, keys)]
-    w = Window.orderBy(*order_keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = counts.withColumn("__off", F.sum("__n").over(w) - F.col("__n")).drop("__n")
-    inner = Window.partitionBy(*keys).orderBy(*order)
+    Rows are dealt by ranges of ``order`` (which should be unique), so no key can
+    crowd a task; the offset of a range is the number of rows in the ranges
+    before it, from a running sum over one row for each range."""
+    dealt = stored(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "rank-ranges")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("__n")).select(
+        "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    inner = Window.partitionBy("__range").orderBy(*order)
+    # one row for each range: bounded by the number of shuffle partitions
     return (
-        keyed.join(offsets, on=keys, how="inner")
+        dealt.join(F.broadcast(offsets), "__range")
         .withColumn(rank_col, F.col("__off") + F.row_number().over(inner))
-        .drop("__off", *keys)
+        .drop("__off", "__range")
     )

@@ -29,19 +29,24 @@ def pandas_detector(df: DataFrame, id_col: str, text_col: str,
                     predict: Callable[[list[str]], list[tuple[str | None, float | None]]],
                     id_type: str = "bigint") -> DataFrame:
     """M1 for a user-supplied detector (any per-text library): ``predict`` maps a
-    batch of texts to (label, probability) pairs. A failing batch yields nulls
-    for its rows instead of failing the job (the reference's per-row
-    ``try/except``); newlines are removed before prediction (F13)."""
+    batch of texts to (label, probability) pairs. When a batch fails,
+    its texts are predicted one by one, and only those that fail get nulls;
+    newlines are removed before prediction (F13)."""
+
+    def one(text: str) -> tuple[str | None, float | None]:
+        try:
+            return predict([text])[0]
+        except Exception:  # noqa: BLE001 - detector failure gives nulls (M1)
+            return None, None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = b[text_col].fillna("").str.replace("\n", "", regex=False).tolist()
             try:
                 preds = predict(texts)
-                langs = [p[0] for p in preds]
-                probs = [p[1] for p in preds]
             except Exception:  # noqa: BLE001 - detector failure gives nulls (M1)
-                langs, probs = [None] * len(texts), [None] * len(texts)
+                preds = [one(t) for t in texts]
+            langs, probs = [p[0] for p in preds], [p[1] for p in preds]
             yield pd.DataFrame({id_col: b[id_col], "pred_lang": langs, "pred_prob": probs})
 
     return df.select(id_col, text_col).mapInPandas(run, f"{id_col} {id_type}, {DETECTOR_SCHEMA}")

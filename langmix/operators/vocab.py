@@ -2,36 +2,29 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from langmix.functions.text import tweet_tokens
 from langmix.operators.ranking import global_rank
+from langmix.session import stored
 
 PAD_ID, UNK_ID = 0, 1
-# Vocabularies up to this many tokens are broadcast to the encoding join.
-BROADCAST_VOCAB_ROWS = 2_000_000
 
 
 def build_vocabulary(df: DataFrame, text_col: str) -> DataFrame:
     """A14 + W7: token counts over the training texts; ids by descending count
     (ties by token) starting at 2 (0 = <pad>, 1 = <unk>).
 
-    The ranking is global but never single-partition: ``global_rank`` offsets
-    each (count, first character) group by a running sum over the small group
-    table and ranks rows inside their group only."""
+    The ranking is global but never single-partition (:func:`global_rank`). The
+    vocabulary is written to the shared folder: it is counted once however often
+    it is joined, and the planner knows its size."""
     toks = df.select(F.explode(tweet_tokens(text_col)).alias("token"))
     counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("cnt"))
-    ranked = global_rank(
-        counts,
-        coarse=[(F.col("cnt"), False), (F.substring("token", 1, 1), True)],
-        order=[F.col("cnt").desc(), F.col("token").asc()],
-    )
-    return ranked.select("token", "cnt", (F.col("rank") + 1).alias("id"))
-
-
-def _maybe_broadcast(df: DataFrame, limit: int) -> DataFrame:
-    return F.broadcast(df) if df.count() <= limit else df
+    ranked = global_rank(counts, [F.col("cnt").desc(), F.col("token").asc()])
+    return stored(ranked.select("token", "cnt", (F.col("rank") + 1).alias("id")), "vocabulary")
 
 
 def encode_padded(df: DataFrame, id_col: str, text_col: str, vocab: DataFrame, max_len: int = 50) -> DataFrame:
@@ -40,8 +33,7 @@ def encode_padded(df: DataFrame, id_col: str, text_col: str, vocab: DataFrame, m
     Positions are exploded (at most ``max_len`` per row), joined with the
     vocabulary and re-gathered per row -- a bounded group."""
     pos = df.select(id_col, F.posexplode(F.slice(tweet_tokens(text_col), 1, max_len)).alias("pos", "token"))
-    v = _maybe_broadcast(vocab.select("token", "id"), BROADCAST_VOCAB_ROWS)
-    looked = pos.join(v, "token", "left").select(id_col, "pos", F.coalesce("id", F.lit(UNK_ID)).alias("id"))
+    looked = pos.join(vocab.select("token", "id"), "token", "left").select(id_col, "pos", F.coalesce("id", F.lit(UNK_ID)).alias("id"))
     gathered = looked.groupBy(id_col).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("__ids")
     )
@@ -53,23 +45,19 @@ def encode_padded(df: DataFrame, id_col: str, text_col: str, vocab: DataFrame, m
     )
 
 
-def mean_vectors(encoded: DataFrame, id_col: str, vectors: DataFrame) -> DataFrame:
-    """Sum of the vectors of known ids over the real (non-pad) length, min 1.
+def text_mean_vectors(df: DataFrame, id_col: str, text_col: str, vocab: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Sum of the vectors of a whole text's known tokens over its number of tokens, min 1.
 
-    ``vectors`` is ``(id, embedding array<float>)``. Rows without any known id
+    ``vectors`` is ``(id, embedding array<float>)``. A token is counted once per
+    text before it meets its vector, and the vectors are summed by a partial
+    aggregate, so no text's vectors are gathered. Rows without any known token
     get the zero vector."""
-    dim = vectors.select(F.size("embedding").alias("d")).agg(F.max("d")).first()[0]
-    real = encoded.select(id_col, F.size(F.filter("ids", lambda x: x != PAD_ID)).alias("__n"))
-    hits = (
-        encoded.select(id_col, F.explode("ids").alias("id"))
-        .filter(F.col("id") > UNK_ID)
-        .join(vectors, "id")
-        .groupBy(id_col)
-        .agg(F.collect_list(F.col("embedding").cast("array<double>")).alias("__vs"))
-    )
+    dim = vectors.select(F.size("embedding").alias("d")).agg(F.max("d")).first()[0] or 0
+    toks = df.select(id_col, tweet_tokens(text_col).alias("__t"))
+    lengths = toks.select(id_col, F.size("__t").alias("__n"))
+    known = vocab.join(vectors, "id").select("token", array_to_vector(F.col("embedding").cast("array<double>")).alias("__v"))
+    counts = toks.select(id_col, F.explode("__t").alias("token")).groupBy(id_col, "token").agg(F.count(F.lit(1)).cast("double").alias("__k"))
+    sums = counts.join(known, "token").groupBy(id_col).agg(vector_to_array(Summarizer.sum(F.col("__v"), F.col("__k"))).alias("__s"))
     zero = F.array_repeat(F.lit(0.0), dim)
-    summed = F.aggregate(F.coalesce("__vs", F.array().cast("array<array<double>>")), zero,
-                         lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
-    return real.join(hits, id_col, "left").select(
-        id_col, F.transform(summed, lambda s: s / F.greatest(F.col("__n"), F.lit(1))).alias("mean")
-    )
+    return lengths.join(sums, id_col, "left").select(
+        id_col, F.transform(F.coalesce("__s", zero), lambda s: s / F.greatest(F.col("__n"), F.lit(1))).alias("mean"))

@@ -19,7 +19,7 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     spark = df.sparkSession
     try:
         want = spark.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
+        have = len(df.inputFiles())  # from the file listing: no job runs
     except Exception:  # noqa: BLE001 - e.g. a remote session without RDD access: leave it to AQE
         return df
     if have >= want:

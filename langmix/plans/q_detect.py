@@ -26,7 +26,7 @@ def split_corpus(spark, sf_dir) -> DataFrame:
 
 def predictions(spark, sf_dir, systems=SYSTEMS) -> DataFrame:
     """Dev-split predictions of each system: doc_id, dataset, gold, pred_lang, pred_prob, top_preds, system."""
-    sp = split_corpus(spark, sf_dir).checkpoint()
+    sp = split_corpus(spark, sf_dir)
     train = X.spread(sp.filter(F.col("split") == "train"), "doc_id")
     dev = X.spread(sp.filter(F.col("split") == "dev"), "doc_id")
     out = None
@@ -34,7 +34,7 @@ def predictions(spark, sf_dir, systems=SYSTEMS) -> DataFrame:
     for n in systems:
         pred = models[n].transform(dev, "doc_id", "sentence").withColumn("system", F.lit(f"char{n}"))
         out = pred if out is None else out.unionByName(pred)
-    meta = dev.select("doc_id", "dataset", F.col("language").alias("gold"), "sentence")
+    meta = dev.select("doc_id", "dataset", F.col("language").alias("gold"))
     return meta.join(out, "doc_id")
 
 
@@ -213,15 +213,16 @@ _RESULT_ROWS = """rows AS (
     CAST(regexp_extract(d.language, '^[^-_]*', 0) = split_part(replace(p.lang, '__label__', ''), '_', 1) AS DOUBLE) AS f1,
     CAST(d.language <> p.lang AS DOUBLE) AS fpr
   FROM dev d JOIN det p ON p.id = d.doc_id AND p.r = 1),
-lg AS (SELECT model, lang_code, class, round(avg(f1), 6) AS f1, round(avg(fpr), 6) AS fpr, CAST(count(*) AS BIGINT) AS sample_size
+lg AS (SELECT model, lang_code, class, avg(f1) AS f1, avg(fpr) AS fpr, CAST(count(*) AS BIGINT) AS sample_size
   FROM rows JOIN classes USING (lang_code) WHERE class IS NOT NULL GROUP BY model, lang_code, class)"""
 
 _RES_BASE = S.base(S.CLASSES, SPLIT_SQL, *detector_ctes(MAIN_N, "train", "language", "dev", "doc_id", "sentence", "det"), _RESULT_ROWS)
 
 
-@register("resource_lang_report", _RES_BASE + "SELECT * FROM lg")
+@register("resource_lang_report", _RES_BASE + "SELECT model, lang_code, class, round(f1, 6) AS f1, round(fpr, 6) AS fpr, sample_size FROM lg")
 def resource_lang_report(spark, sf_dir):
-    return M.resource_lang_groups(result_rows(spark, sf_dir), resource_class_dimension(spark))
+    groups = M.resource_lang_groups(result_rows(spark, sf_dir), resource_class_dimension(spark))
+    return groups.withColumns({c: F.round(c, 6) for c in ("f1", "fpr")})
 
 
 @register(
@@ -248,13 +249,14 @@ def class_micro_report(spark, sf_dir):
 @register(
     "class_low5",
     _RES_BASE
-    + """SELECT * FROM (SELECT class, lang_code, f1_mean, sample_data,
+    + """SELECT * FROM (SELECT class, lang_code, round(f1_mean, 6) AS f1_mean, sample_data,
     row_number() OVER (PARTITION BY class ORDER BY f1_mean, lang_code) AS rank
-  FROM (SELECT class, lang_code, round(avg(f1), 6) AS f1_mean, CAST(count(*) AS BIGINT) AS sample_data
+  FROM (SELECT class, lang_code, avg(f1) AS f1_mean, CAST(count(*) AS BIGINT) AS sample_data
         FROM rows JOIN classes USING (lang_code) GROUP BY class, lang_code)) WHERE rank <= 5""",
 )
 def class_low5(spark, sf_dir):
-    return M.lowest_per_class(result_rows(spark, sf_dir), resource_class_dimension(spark))
+    low = M.lowest_per_class(result_rows(spark, sf_dir), resource_class_dimension(spark))
+    return low.withColumn("f1_mean", F.round("f1_mean", 6))
 
 
 @register(

@@ -10,7 +10,7 @@ from langmix.functions import text as T
 from langmix.functions.codes import map_literal, multi_hot
 from langmix.operators import codeswitch as CS
 from langmix.operators.detect import fit_char_ngram_multi
-from langmix.operators.vocab import build_vocabulary, encode_padded, mean_vectors
+from langmix.operators.vocab import build_vocabulary, encode_padded, text_mean_vectors
 from langmix.plans import fixtures as X
 from langmix.plans import sql as S
 from langmix.plans.catalog import register
@@ -35,7 +35,7 @@ def clean_text(spark, sf_dir):
 
 @register(
     "clean_tweet",
-    """SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(text, '@\\S+', '', 'g'),
+    """SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(text, '@[^\\s\\x{A0}\\x{2000}-\\x{200A}\\x{3000}]+', '', 'g'),
   '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g') AS cleaned FROM conversations""",
 )
 def clean_tweet(spark, sf_dir):
@@ -56,7 +56,7 @@ def cs_test(spark, sf_dir) -> DataFrame:
 def labelset_scored(spark, sf_dir) -> DataFrame:
     """Each system's top-2 languages of every code-switch test sentence, mapped
     to names (J12, unmapped dropped), sorted and '-'-joined (F14, F9)."""
-    sp = split_corpus(spark, sf_dir).checkpoint()
+    sp = split_corpus(spark, sf_dir)
     train = X.spread(sp.filter(F.col("split") == "train"), "doc_id")
     test = X.spread(cs_test(spark, sf_dir), "pair_id").checkpoint()
     names = map_literal(ISO3_TO_NAME)
@@ -298,8 +298,10 @@ def mean_embedding(spark, sf_dir):
 
 @register(
     "doc_mean_embedding",
-    _ENC_SQL
-    + """, hit AS (SELECT ids.pair_id, e.embedding FROM ids JOIN embeddings e ON e.vec_id = ids.id WHERE ids.id >= 2),
+    _VOCAB_SQL
+    + """, ids AS (SELECT pos.pair_id, COALESCE(v.id, 1) AS id FROM (SELECT pair_id, unnest(t) AS tok FROM toks) pos
+  LEFT JOIN vocab v ON pos.tok = v.token),
+hit AS (SELECT ids.pair_id, e.embedding FROM ids JOIN embeddings e ON e.vec_id = ids.id WHERE ids.id >= 2),
 nreal AS (SELECT pair_id, count(*) AS n FROM ids GROUP BY pair_id),
 dims AS (SELECT pair_id, i - 1 AS dim, sum(CAST(v AS DOUBLE)) AS s FROM (
   SELECT pair_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM hit) GROUP BY pair_id, i),
@@ -311,9 +313,8 @@ FROM alld a LEFT JOIN dims d ON a.pair_id = d.pair_id AND a.dim = d.dim LEFT JOI
 def doc_mean_embedding(spark, sf_dir):
     train, everything = cs_train_test(spark, sf_dir)
     vocab = build_vocabulary(train, "codeswitch_sentence")
-    enc = encode_padded(everything, "pair_id", "codeswitch_sentence", vocab, MAX_LEN)
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    means = mean_vectors(enc, "pair_id", vectors)
+    means = text_mean_vectors(everything, "pair_id", "codeswitch_sentence", vocab, vectors)
     return means.select("pair_id", F.posexplode("mean").alias("dim", "value")).select(
         "pair_id", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value")
     )

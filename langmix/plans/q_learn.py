@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from langmix.operators import learn as L
-from langmix.operators.vocab import build_vocabulary, encode_padded, mean_vectors
+from langmix.operators.vocab import build_vocabulary, text_mean_vectors
 from langmix.plans import fixtures as X
 from langmix.plans.catalog import register
 from langmix.plans.q_detect import split_corpus
-from langmix.plans.q_labels import MAX_LEN
 from langmix.plans.q_pairs import cs_corpus_df
 from langmix.sources.tables import table
 
@@ -18,7 +17,7 @@ GRID = [{"n": n, "reg": reg, "max_iter": 10} for n in (1, 2) for reg in (0.0, 0.
 
 
 def _train_dev(spark, sf_dir):
-    sp = split_corpus(spark, sf_dir).checkpoint()
+    sp = split_corpus(spark, sf_dir)
     train = X.spread(sp.filter(F.col("split") == "train"), "doc_id")
     dev = X.spread(sp.filter(F.col("split") == "dev"), "doc_id")
     return train, dev
@@ -74,9 +73,8 @@ def multilabel_linear(spark, sf_dir):
 def multilabel_embedding(spark, sf_dir):
     cs, train, test, classes = _cs_sets(spark, sf_dir)
     vocab = build_vocabulary(train, "codeswitch_sentence")
-    enc = encode_padded(cs, "pair_id", "codeswitch_sentence", vocab, MAX_LEN)
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    feats = L.vector_features(mean_vectors(enc, "pair_id", vectors), "mean").join(cs, "pair_id").checkpoint()
+    feats = L.vector_features(text_mean_vectors(cs, "pair_id", "codeswitch_sentence", vocab, vectors), "mean").join(cs, "pair_id").checkpoint()
     models = L.fit_multilabel(feats.filter(F.col("split") == "train"), "labels", classes)
     test_f = feats.filter(F.col("split") == "test")
     pred = L.predict_multilabel(models, test_f, "pair_id", threshold=0.8, top_k=2)

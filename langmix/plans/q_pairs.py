@@ -29,22 +29,12 @@ def doc_pairs(spark, sf_dir) -> DataFrame:
     )
 
 
-def _digits_sql() -> str:
-    parts = " + ".join(f"CAST(n >= {P.ROWS_PER_BUCKET * 16 ** (k + 1)} AS INTEGER)" for k in range(6))
-    return f"(SELECT {parts} FROM (SELECT count(*) AS n FROM corpus))"
-
-
-PAIRS_SQL = f"""ranked AS (
-  SELECT *, substr(h, 1, {_digits_sql()}) AS b FROM (
-    SELECT *, {S.md5_order('doc_id', 'pair:42')} AS h FROM corpus)),
-ranked2 AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY h, doc_id) AS rn FROM ranked),
-pairs AS (
+PAIRS_SQL = """pairs AS (
   SELECT a.doc_id AS pair_id, a.doc_id AS doc_id_a, b.doc_id AS doc_id_b,
          a.sentence AS sentence_a, b.sentence AS sentence_b, a.data_lang AS data_lang_a, b.data_lang AS data_lang_b,
          a.language AS language_a, b.language AS language_b, a.dataset AS dataset_a, b.dataset AS dataset_b
-  FROM ranked2 a JOIN ranked2 b
-    ON a.b = b.b AND a.rn % 2 = 1 AND b.rn % 2 = 0 AND (a.rn + 1) // 2 = (b.rn + 1) // 2
-  WHERE a.language <> b.language)"""
+  FROM corpus a JOIN corpus b ON a.doc_id % 2 = 0 AND b.doc_id = a.doc_id + 1),
+two AS (SELECT * FROM pairs WHERE language_a <> language_b)"""
 
 
 # ---------------------------------------------------------------- 13 parallel_segments
@@ -115,15 +105,15 @@ def translation_rows(pairs: DataFrame, codes: DataFrame, dataset: str = "pairs")
     "translation_pairs",
     S.base(PAIRS_SQL)
     + """, sides AS (
-  SELECT pair_id, data_lang_b AS data_lang, sentence_b AS sentence FROM pairs WHERE data_lang_a = 'en'
-  UNION ALL SELECT pair_id, data_lang_a, sentence_a FROM pairs WHERE data_lang_b = 'en'
-  UNION ALL SELECT pair_id, data_lang_a, sentence_a FROM pairs WHERE data_lang_a <> 'en' AND data_lang_b <> 'en'
-  UNION ALL SELECT pair_id, data_lang_b, sentence_b FROM pairs WHERE data_lang_a <> 'en' AND data_lang_b <> 'en')
+  SELECT pair_id, data_lang_b AS data_lang, sentence_b AS sentence FROM two WHERE data_lang_a = 'en'
+  UNION ALL SELECT pair_id, data_lang_a, sentence_a FROM two WHERE data_lang_b = 'en'
+  UNION ALL SELECT pair_id, data_lang_a, sentence_a FROM two WHERE data_lang_a <> 'en' AND data_lang_b <> 'en'
+  UNION ALL SELECT pair_id, data_lang_b, sentence_b FROM two WHERE data_lang_a <> 'en' AND data_lang_b <> 'en')
 SELECT pair_id, data_lang, COALESCE(c.iso_3, data_lang) AS language, sentence, 'pairs' AS dataset
 FROM sides LEFT JOIN codes c ON sides.data_lang = c.iso_1""",
 )
 def translation_pairs(spark, sf_dir):
-    return translation_rows(doc_pairs(spark, sf_dir), code_dimension(spark))
+    return translation_rows(P.two_languages(doc_pairs(spark, sf_dir)), code_dimension(spark))
 
 
 # ---------------------------------------------------------------- 15 tagged_block_filter
@@ -215,7 +205,7 @@ def cs_raw(spark, sf_dir) -> DataFrame:
     """Code-switch source rows from document pairs. Label spellings vary the way
     the merged sources do: en-dash names, hyphen names, tweet-style code pairs
     (``de+en``) and three-language tweet labels that P8 must drop."""
-    pairs = doc_pairs(spark, sf_dir)
+    pairs = P.two_languages(doc_pairs(spark, sf_dir))
     names = lang_name_dimension(spark)
     na = names.select(F.col("code").alias("data_lang_a"), F.col("name").alias("name_a"))
     nb = names.select(F.col("code").alias("data_lang_b"), F.col("name").alias("name_b"))
@@ -248,7 +238,7 @@ _CS_SQL = f"""raw AS (
          WHEN substr(md5('label:' || CAST(p.pair_id AS VARCHAR)), 1, 1) IN ('a','b','c','d','e')
            THEN least(p.data_lang_a, p.data_lang_b) || '+' || greatest(p.data_lang_a, p.data_lang_b)
          ELSE p.data_lang_a || '+' || p.data_lang_b || '+en' END AS languages
-  FROM pairs p LEFT JOIN names na ON p.data_lang_a = na.code LEFT JOIN names nb ON p.data_lang_b = nb.code),
+  FROM two p LEFT JOIN names na ON p.data_lang_a = na.code LEFT JOIN names nb ON p.data_lang_b = nb.code),
 pairmap AS (SELECT * FROM {S.values(list(PAIR_LABEL_MAP.items()), 'k, v')}),
 renamed AS (SELECT * FROM {S.values(list(PAIR_RENAME.items()), 'k, v')}),
 mapped AS (

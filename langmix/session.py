@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, app: str = "langmix", shuffle_partitions: int = 8) -> SparkSession:
@@ -35,7 +35,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder.
 
     The cluster names it in ``spark.checkpoint.dir``; we only create our own
-    (under the local temp folder) when it is unset, i.e. in local tests.
+    (under the local temp folder) when it is unset in a local session, i.e. in
+    tests. A cluster without the setting is an error: executors do not share
+    the driver's temp folder.
     """
     try:
         sc = spark.sparkContext
@@ -47,6 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not conf_dir and sc is not None:
         conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if sc is None or not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="langmix-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     if sc is not None:
@@ -55,6 +59,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return conf_dir
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, lineage
+    cut, and its size known to the planner (which then decides on a broadcast)."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

@@ -78,10 +78,15 @@ def read_meta_blocks(spark: SparkSession, path: str, languages: str, source: str
 
 
 def read_blank_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """Blank-line separated blocks of stripped lines, in file order (``block``)."""
-    recs = spark.read.option("lineSep", "\n\n").text(path).withColumn("block", F.monotonically_increasing_id())
+    """Blocks of stripped lines separated by lines that are empty once stripped, in file order (``block``).
+
+    Records are cut at empty lines first, so a file is read in parallel; lines of white space alone (a lone carriage
+    return too) part a record further. A file whose separators all hold white space is one record."""
+    recs = spark.read.option("lineSep", "\n\n").text(path).withColumn("rec", F.monotonically_increasing_id())
+    parts = recs.select("rec", F.posexplode(F.split("value", r"(?U)\n[^\S\n]*(?=\n)|^[^\S\n]*(?=\n)")).alias("part", "value"))
     lines = F.transform(F.split("value", "\n"), lambda x: strip_ws(x))
-    return recs.select("block", F.filter(lines, lambda x: x != "").alias("lines")).filter(F.size("lines") > 0)
+    blocks = parts.select("rec", "part", F.filter(lines, lambda x: x != "").alias("lines")).filter(F.size("lines") > 0)
+    return blocks.select(F.struct("rec", "part").alias("block"), "lines")
 
 
 def read_tagged_blocks(spark: SparkSession, path: str, required_tags: list[str]) -> tuple[DataFrame, DataFrame]:

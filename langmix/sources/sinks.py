@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from langmix.functions.text import label_line
+from langmix.functions.text import label_line, strip_ws
 
 
 def write_shards(df: DataFrame, path: str, keys: tuple[str, ...] = ("dataset", "language"), mode: str = "append") -> None:
@@ -26,7 +26,7 @@ def append_jsonl(df: DataFrame, path: str) -> None:
 def write_label_text(df: DataFrame, path: str, language: str = "language", sentence: str = "sentence") -> None:
     """K3: ``__label__<lang> <sentence>`` lines; rows with an empty trimmed side are skipped."""
     line = label_line(language, sentence)
-    ok = (F.trim(F.col(sentence)) != "") & F.col(language).isNotNull() & (F.col(language) != "")
+    ok = (strip_ws(sentence) != "") & F.col(language).isNotNull() & (F.col(language) != "")
     df.filter(ok).select(line.alias("value")).write.mode("overwrite").text(path)
 
 
@@ -41,7 +41,9 @@ def append_summary(df: DataFrame, path: str) -> None:
 
 
 def write_json_summary(df: DataFrame, path: str) -> None:
-    """K6: a one-row JSON summary."""
+    """K6: a one-row JSON summary. More rows are an error: the single file is meant for one."""
+    if len(df.take(2)) > 1:
+        raise ValueError("a JSON summary has one row")
     df.coalesce(1).write.mode("overwrite").json(path)
 
 

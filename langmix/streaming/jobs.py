@@ -18,7 +18,7 @@ from langmix.functions import text as T
 from langmix.session import scratch_path
 
 
-def parquet_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1) -> DataFrame:
+def parquet_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 4096) -> DataFrame:
     """File-source stream over ``<dir>/<name>*.parquet`` with the batch schema."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     schema = spark.read.parquet(path).schema
@@ -90,7 +90,7 @@ def stream_profile(spark: SparkSession, stream: DataFrame, out: str | None = Non
 
 
 def stream_ingest(spark: SparkSession, stream: DataFrame, out: str | None = None) -> DataFrame:
-    """ST1/ST4: filter + trim a stream and append it grouped by language
+    """ST1/ST4: append a (filtered, trimmed) stream grouped by language
     (``partitionBy``), in place of the periodic in-memory flush; returns the
     written table."""
     out = out or scratch_path(spark, "stream-ingest")

@@ -23,8 +23,19 @@ def test_greedy_cover_equals_sequential(spark):
         pairs = _random_pairs(rnd)
         ranked = spark.createDataFrame([(a, b, i + 1) for i, (a, b) in enumerate(pairs)], "l1 string, l2 string, rank int")
         got = sorted((r["l1"], r["l2"]) for r in P.greedy_pair_cover(ranked, "en").collect())
-        want = sorted(P.greedy_pair_cover_reference(pairs, "en"))
-        assert got == want
+        rank = {p: i for i, p in enumerate(pairs)}
+        ends = lambda p: {x for x in p if x != "en"}
+        # no two taken pairs share an end but the hub, and every other pair meets a smaller taken one
+        assert sum(len(ends(p)) for p in got) == len(set().union(*map(ends, got)))
+        for p in pairs:
+            assert p in got or any(ends(p) & ends(t) and rank[t] < rank[p] for t in got)
+
+
+def test_cover_of_a_long_chain(spark):
+    """Each round can take one pair only; all rounds run."""
+    pairs = [(f"c{i:02d}", f"c{i + 1:02d}", i + 1) for i in range(12)]
+    ranked = spark.createDataFrame(pairs, "l1 string, l2 string, rank int")
+    assert sorted(r["rank"] for r in P.greedy_pair_cover(ranked, "en").collect()) == [1, 3, 5, 7, 9, 11]
 
 
 def test_pair_product_and_uncovered(spark):
@@ -36,21 +47,12 @@ def test_pair_product_and_uncovered(spark):
     assert unc == [("es", "it")]
 
 
-def test_bucket_digits():
-    assert P.bucket_digits(999) == 0
-    assert P.bucket_digits(16000) == 1
-    assert P.bucket_digits(600_000_000) == 4
-
-
 def test_doc_pairs_invariants(spark):
-    rows = [(i, f"text {i}", "en" if i % 3 else "de", ["eng", "deu"][i % 3 == 0], f"src{i % 4}") for i in range(300)]
+    rows = [(i, f"text {i}", "en" if i % 3 else "de", ["eng", "deu"][i % 3 == 0], f"src{i % 4}") for i in range(301)]
     corpus = spark.createDataFrame(rows, "doc_id long, sentence string, data_lang string, language string, dataset string")
-    results = []
     for parts in (1, 7):
-        p = P.doc_pairs(corpus.repartition(parts)).select("pair_id", "doc_id_a", "doc_id_b", "language_a", "language_b")
-        got = sorted(map(tuple, p.collect()))
-        ids = [r[1] for r in got] + [r[2] for r in got]
-        assert len(ids) == len(set(ids))  # every document is in at most one pair
-        assert all(r[3] != r[4] for r in got) and all(r[0] == r[1] for r in got)
-        results.append(got)
-    assert results[0] == results[1] and len(results[0]) > 0
+        p = P.doc_pairs(corpus.repartition(parts)).select("pair_id", "doc_id_a", "doc_id_b")
+        assert sorted(map(tuple, p.collect())) == [(i, i, i + 1) for i in range(0, 300, 2)]
+    more = P.doc_pairs(corpus.where("doc_id < 100")).select("pair_id", "doc_id_a", "doc_id_b")
+    assert sorted(map(tuple, more.collect())) == [(i, i, i + 1) for i in range(0, 100, 2)]  # a larger corpus pairs alike
+    assert all(r["language_a"] != r["language_b"] for r in P.two_languages(P.doc_pairs(corpus)).collect())

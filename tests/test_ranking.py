@@ -63,7 +63,7 @@ def test_global_rank_matches_window(spark):
     rnd = random.Random(3)
     words = ["".join(rnd.choice("abcé") for _ in range(rnd.randint(1, 4))) for _ in range(800)]
     df = spark.createDataFrame([(w,) for w in words], "token string").groupBy("token").agg(F.count("*").alias("cnt"))
-    got = global_rank(df, [(F.col("cnt"), False), (F.substring("token", 1, 1), True)], [F.desc("cnt"), F.asc("token")])
+    got = global_rank(df, [F.desc("cnt"), F.asc("token")])
     want = df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cnt"), F.asc("token"))))
     assert sorted(map(tuple, got.select("token", "rank").collect())) == sorted(map(tuple, want.select("token", "rank").collect()))
 
@@ -73,6 +73,31 @@ def test_dedup_first_keeps_smallest_id(spark):
     assert sorted(r["doc_id"] for r in C.dedup_first(df, ["sentence"], "doc_id").collect()) == [1, 2, 9]
 
 
+def test_dedup_first_null_keys_and_ties(spark):
+    rows = [(1, "a", None), (2, None, "a"), (3, "a", None), (4, None, None), (5, None, None), (4, "", None), (1, "a", None), (None, "b", "c"), (7, "b", "c")]
+    df = spark.createDataFrame(rows, "ordinal long, k string, l string")
+    got = sorted(map(str, (tuple(r) for r in C.dedup_first(df, ["k", "l"], "ordinal").collect())))
+    assert got == sorted(map(str, [(1, "a", None), (2, None, "a"), (4, None, None), (4, "", None), (7, "b", "c")]))
+
+
+def test_split_keeps_null_groups(spark):
+    rows = [(i, None if i % 10 == 0 else "s" if i % 2 else "t", None if i % 3 else "x") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, other string")
+    sp = C.split_by_rank(df, 0.7, ["source", "other"], tail="test").groupBy("source", "other", "split").count().collect()
+    assert sum(r["count"] for r in sp) == 1000
+    for s, o in {(r["source"], r["other"]) for r in sp}:
+        n = sum(r["count"] for r in sp if (r["source"], r["other"]) == (s, o))
+        assert sum(r["count"] for r in sp if (r["source"], r["other"], r["split"]) == (s, o, "train")) == int(n * 0.7)
+
+
+def test_policy_keeps_rows_without_a_source_and_p_one_keeps_all(spark):
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else f"s{i % 4}") for i in range(400)], "doc_id long, dataset string")
+    got = C.source_policy(df, ["s1"], ["s2"], 0.5).groupBy("dataset").count().collect()
+    by = {r["dataset"]: r["count"] for r in got}
+    assert by[None] == 100 and by["s3"] == 100 and "s1" not in by and 25 < by["s2"] < 75
+    assert df.filter(C.bernoulli_keep("doc_id", 1.0, "x")).count() == 400
+
+
 def test_duplicate_stats_identity(spark):
     df = spark.createDataFrame([("a",), ("a",), ("b",), ("a",)], "sentence string")
     r = C.duplicate_stats(df).first()
