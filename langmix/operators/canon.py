@@ -143,8 +143,8 @@ CS_SPECS = {
 # ---------------------------------------------------------------------------
 
 
-def canonicalise_cs(df: DataFrame, spec: CodeSwitchSpec) -> DataFrame:
-    """(codeswitch_sentence, languages, dataset_source) for one code-switch source."""
+def canonicalise_cs(df: DataFrame, spec: CodeSwitchSpec, keep_order: bool = False) -> DataFrame:
+    """(codeswitch_sentence, languages, dataset_source) for one code-switch source, and its order column if asked."""
     out = df
     if spec.drop_category:
         col, value = spec.drop_category
@@ -170,4 +170,5 @@ def canonicalise_cs(df: DataFrame, spec: CodeSwitchSpec) -> DataFrame:
         out = out.dropDuplicates(["codeswitch_sentence"])
     if spec.head is not None:
         out = out.orderBy(spec.order_col).limit(spec.head)
-    return out.select("codeswitch_sentence", "languages", F.lit(spec.source).alias("dataset_source"))
+    order = keep if keep_order else []
+    return out.select("codeswitch_sentence", "languages", F.lit(spec.source).alias("dataset_source"), *order)

@@ -63,13 +63,13 @@ def read_lines(spark: SparkSession, path: str, languages: str, source: str, drop
 
 def read_meta_blocks(spark: SparkSession, path: str, languages: str, source: str) -> DataFrame:
     """CoNLL blocks opened by a ``meta`` line; the sentence is the first tab
-    field of each following line joined by a space (a blank line adds an empty
-    token). Records are split on ``\\nmeta``; the first block keeps its leading
+    field of each following stripped line joined by a space (a blank line adds an
+    empty token; so does the line break that ends a file). Records are split on ``\\nmeta``; the first block keeps its leading
     ``meta`` so it is stripped here."""
     recs = spark.read.option("lineSep", "\nmeta").text(path)
     lines = F.split(F.regexp_replace("value", r"^meta", ""), "\n")
     body = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
-    words = F.transform(body, lambda ln: F.split(ln, "\t").getItem(0))
+    words = F.transform(body, lambda ln: F.split(strip_ws(ln), "\t").getItem(0))
     return recs.filter(F.trim("value") != "").select(
         F.array_join(words, " ").alias("codeswitch_sentence"),
         F.lit(languages).alias("languages"),
