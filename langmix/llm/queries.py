@@ -104,4 +104,15 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM met WHERE
 WITH d AS (SELECT doc_id, sha256({_NORM}) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256)""",
+    "op6_near_dedup": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_NORM}, '[^\x20\x09-\x0D]+') AS t FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 5 THEN [array_to_string(t, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' '))) END AS sh FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id
+          GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT ways.b, reach.root FROM reach JOIN ways ON ways.a = reach.id),
+roots AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id)
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN roots ON id = doc_id""",
 }
