@@ -36,6 +36,10 @@ HEADLINE = [
     "stream_profile",
     "eval_sets_report",
     "resume_left_anti",
+    "pair_cover",
+    "doc_mean_embedding",
+    "stream_ingest",
+    "evaluate_all",
 ]
 
 

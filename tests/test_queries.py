@@ -17,6 +17,7 @@ FAST_KEYS = [
     "tagged_block_filter", "pair_product", "pair_uncovered", "pair_cover", "cs_corpus", "cs_label_distribution", "clean_text",
     "clean_tweet", "detect_char_ngram", "confusion", "vocabulary", "encode_padded", "mean_embedding", "doc_label_sets",
     "stream_profile", "stream_ingest_events", "benchmark_predictions", "resume_left_anti", "eval_sets_report",
+    "eval_tweets", "cs_source_splits",
 ]
 
 
