@@ -14,8 +14,10 @@ RULE_SCHEMA = "verdict string, host string, path string"
 
 
 def rule_table(spark: SparkSession, rules: Iterable[tuple[str, str, str]]) -> DataFrame:
-    """``(verdict, host, path)`` rules, such as ``("block", "example.com", "/de/")``."""
-    return spark.createDataFrame(list(rules), RULE_SCHEMA)
+    """``(verdict, host, path)`` rules, such as ``("block", "example.com", "/de/")``: a short list as literal rows. A long
+    list is a table that the caller reads."""
+    rows = [F.struct(F.lit(v).alias("verdict"), F.lit(h).alias("host"), F.lit(p).alias("path")) for v, h, p in rules]
+    return spark.range(1).select(F.inline(F.array(*rows) if rows else F.array().cast(f"array<struct<{RULE_SCHEMA.replace(' string', ':string')}>>")))
 
 
 def url_host(url: Column) -> Column:
