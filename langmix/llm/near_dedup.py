@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,26 +11,29 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from langmix.llm.common import LOWER, UPPER, stored, without
+from langmix.llm.common import LOWER, UPPER, blank_words, stored, without
 from langmix.llm.components import components
 from langmix.llm.encode import by_bytes, texts_of
 
-WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 ASCII = str.maketrans(UPPER, LOWER)
 #: Words in a shingle; minwise tokens of a document.
 SHINGLE, TOKENS = 5, 64
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _random = np.random.default_rng(20_240_607)
 _MIX = _random.integers(1, 2 ** 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_MUL = _random.integers(1, 2 ** 63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _random.integers(1, 2 ** 63, TOKENS, dtype=np.uint64)
+_MUL = (_random.integers(0, 2 ** 32, TOKENS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
+
+
+_rows = np.empty((512, TOKENS), np.uint32)
 
 
 class _WordHashes(dict):
+    """Word -> 64 bits of its lower-cased (A-Z) form, worked out when first met."""
+
     def __missing__(self, word: str) -> int:
         if len(self) > REMEMBERED:
             self.clear()
-        got = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        got = self[word] = int.from_bytes(hashlib.blake2b(word.translate(ASCII).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
         return got
 
 
@@ -47,7 +49,7 @@ def _finish(h: np.ndarray) -> np.ndarray:
 def shingle_set(text: str) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a whole text's 5-word shingles; a shorter text is one shingle, a text without
     words has none."""
-    words = WORDS.findall(text.translate(ASCII))
+    words = blank_words(text)
     if not words:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
@@ -61,11 +63,14 @@ def shingle_set(text: str) -> np.ndarray:
 
 
 def minwise(s: np.ndarray) -> np.ndarray:
-    """The minwise tokens of a set: 16 bits of the smallest of each of ``TOKENS`` permutations of it."""
-    low = np.full(TOKENS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(s), 512):
-        np.minimum(low, (s[i:i + 512, None] * _MUL + _ADD).min(axis=0), out=low)
-    return (_finish(low) >> np.uint64(48)).astype(np.uint16)
+    """The minwise tokens of a set: 16 bits of the smallest of each of ``TOKENS`` permutations of 32 bits of it."""
+    short = (s >> np.uint64(32)).astype(np.uint32)
+    low = np.full(TOKENS, np.iinfo(np.uint32).max, np.uint32)
+    for i in range(0, len(short), 512):
+        part = short[i:i + 512, None]
+        held = np.multiply(part, _MUL, out=_rows[:len(part)])
+        np.minimum(low, held.min(axis=0), out=low)
+    return (_finish(low.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -112,13 +117,13 @@ class NearDuplicates:
     parent is a dense group and compared as well, in shares of at most ``share`` documents.
     """
 
-    def __init__(self, percent: int = 85, trees: int = 10, branching: float = 1.5, leaf: int = 1_000, share: int = 30_000,
+    def __init__(self, percent: int = 85, trees: int = 10, branching: float = 1.5, leaf: int = 2_000, share: int = 30_000,
                  depth: int = 6, slack: float = 4.7, group_docs: int = 4_000, group_bytes: int = 24 << 20):
         p = percent / 100
         self.percent, self.trees, self.leaf, self.share, self.depth = percent, trees, leaf, share, depth
         self.group_docs, self.group_bytes = group_docs, group_bytes
         self.chance = min(1.0, branching / (p * TOKENS))
-        #: Common tokens that a pair at the threshold shows but for one time in about a million.
+        #: Common tokens that a pair at the threshold shows but for a few times in a million.
         self.common = max(1, int(TOKENS * p - slack * (TOKENS * p * (1 - p)) ** 0.5))
 
     # -- trees ----------------------------------------------------------------------------------------------------
@@ -149,7 +154,7 @@ class NearDuplicates:
         rows = stored(live.select("cid", "key", "sig", F.lit(1 << 62).alias("above"), "node", "size"), "cps-level")
         edges = []
         for level in range(self.depth + 1):
-            dense = (F.col("size") > 0.8 * F.col("above")) if level < self.depth else F.lit(True)
+            dense = (F.col("size") > 0.7 * F.col("above")) if level < self.depth else F.lit(True)
             ready = (F.col("size") <= self.leaf) | dense
             edges.append(self.compare(rows.where(ready)))
             large = rows.where(~ready)

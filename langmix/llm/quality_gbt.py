@@ -12,11 +12,10 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from langmix.llm.common import BLANKS, without
+from langmix.llm.common import BLANKS, blank_words, without
 from langmix.llm.encode import by_bytes, texts_of
 from langmix.llm.quality_knn import labelled_sample
 
-WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
 RUNS = re.compile(r"([!?.,#*$%&|<>_=~+-])\1")
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -49,7 +48,7 @@ def _repeat_words(words: list[str]) -> tuple[int, int]:
 
 def text_statistics(text: str) -> tuple[list[int], list[float]]:
     """The five base counts of a whole text, and its features."""
-    words = WORDS.findall(text)
+    words = blank_words(text)
     n = len(words)
     chars = len(text) - sum(map(text.count, BLANKS))
     symbols = sum(map(text.count, SYMBOLS))

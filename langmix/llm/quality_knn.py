@@ -14,15 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from langmix.llm.common import without
+from langmix.llm.common import blank_words, without
 from langmix.llm.encode import by_bytes, texts_of
 
-WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 RUNS = re.compile(r"(.)\1+", re.S)
 #: Hashed term space, latent dimensions, neighbours that vote, documents in a block of products.
 TERMS, LATENT, VOTERS, BLOCK = 4096, 64, 21, 256
 #: Words that a worker remembers the terms of.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def _shape(word: str) -> str:
@@ -53,7 +52,7 @@ _terms = _WordTerms()
 def text_terms(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashed terms of a whole text and their share of it: words, word shapes, a word that repeats the one before,
     a line that repeats an earlier one. Each kind sums to one, as far as it occurs; an empty text has none."""
-    words = WORDS.findall(text)
+    words = blank_words(text)
     if not words:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
     pairs = np.fromiter(map(_terms.__getitem__, words), np.int64, len(words))
@@ -82,7 +81,7 @@ class LatentModel:
             x[i, at] = w
         self.idf = (np.log((1 + n) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
         x *= self.idf
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]  # no second matrix on the driver
         k = min(LATENT, max(n, 1))
         q = np.random.default_rng(seed).standard_normal((TERMS, k + 16)).astype(np.float32)
         for _ in range(4):  # randomised range finder for the leading right singular vectors
