@@ -24,6 +24,7 @@ _MIX = _random.integers(1, 2 ** 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + n
 _MUL = (_random.integers(0, 2 ** 32, TOKENS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 
 
+_INVERSE = np.array([pow(int(m), -1, 2 ** 32) for m in _MUL], np.uint32)
 _rows = np.empty((512, TOKENS), np.uint32)
 
 
@@ -62,28 +63,33 @@ def shingle_set(text: str) -> np.ndarray:
     return np.unique(_finish(acc))
 
 
-def minwise(s: np.ndarray) -> np.ndarray:
-    """The minwise tokens of a set: 16 bits of the smallest of each of ``TOKENS`` permutations of 32 bits of it."""
+def minwise(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The minwise tokens of a set: its member that comes first in each of ``TOKENS`` permutations (of 32 bits of the
+    members), and 16 bits of each token for comparison."""
     short = (s >> np.uint64(32)).astype(np.uint32)
     low = np.full(TOKENS, np.iinfo(np.uint32).max, np.uint32)
     for i in range(0, len(short), 512):
         part = short[i:i + 512, None]
         held = np.multiply(part, _MUL, out=_rows[:len(part)])
         np.minimum(low, held.min(axis=0), out=low)
-    return (_finish(low.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
+    member = s[np.searchsorted(short, low * _INVERSE)]
+    return member, (_finish(member) >> np.uint64(48)).astype(np.uint16)
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, n, key, sig)``: set size, a 128-bit key of the set, its minwise tokens. Empty sets have no key."""
+def sketches(docs: DataFrame, id_col: str, text_col: str, picks: list[int]) -> DataFrame:
+    """``(doc_id, n, key, sig, picked)``: set size, a 128-bit key of the set, 16 bits of its minwise tokens, and the
+    picked tokens whole (64 bits each). Empty sets have no key."""
     def run(batches):
         for batch in by_bytes(batches, "text"):
             sets = [shingle_set(t) for t in texts_of(batch, "text")]
+            tokens = [minwise(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                pa.array([minwise(s).tobytes() if len(s) else None for s in sets], pa.binary())], names=["doc_id", "n", "key", "sig"])
+                pa.array([t and t[1].tobytes() for t in tokens], pa.binary()),
+                pa.array([t and t[0][picks].tobytes() for t in tokens], pa.binary())], names=["doc_id", "n", "key", "sig", "picked"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n long, key binary, sig binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n long, key binary, sig binary, picked binary")
 
 
 def segments(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
@@ -123,18 +129,19 @@ class NearDuplicates:
         self.percent, self.trees, self.leaf, self.share, self.depth = percent, trees, leaf, share, depth
         self.group_docs, self.group_bytes = group_docs, group_bytes
         self.chance = min(1.0, branching / (p * TOKENS))
+        rng = np.random.default_rng(7)
+        self.picks: list[tuple[int, int]] = []  # (tree, token) of the roots' children, drawn once
+        for t in range(trees):
+            got = np.flatnonzero(rng.random(TOKENS) < self.chance)
+            self.picks += [(t, int(i)) for i in (got if len(got) else [rng.integers(TOKENS)])]
         #: Common tokens that a pair at the threshold shows but for a few times in a million.
         self.common = max(1, int(TOKENS * p - slack * (TOKENS * p * (1 - p)) ** 0.5))
 
     # -- trees ----------------------------------------------------------------------------------------------------
     def roots(self, reps: DataFrame) -> DataFrame:
-        """``(node, cid, key)`` of the children of all roots."""
-        rng = np.random.default_rng(7)
-        picks = []
-        for t in range(self.trees):
-            got = np.flatnonzero(rng.random(TOKENS) < self.chance)
-            picks += [(t, int(i)) for i in (got if len(got) else [rng.integers(TOKENS)])]
-        nodes = [F.xxhash64(F.lit(t), F.lit(i), F.substring("sig", 2 * i + 1, 2)) for t, i in picks]
+        """``(node, cid, key)`` of the children of all roots, named by whole tokens: documents without a common
+        shingle do not meet, however many there are."""
+        nodes = [F.xxhash64(F.lit(t), F.lit(i), F.substring("picked", 8 * j + 1, 8)) for j, (t, i) in enumerate(self.picks)]
         return reps.select("cid", "key", F.explode(F.array(*nodes)).alias("node"))
 
     def branch(self, rows: DataFrame) -> DataFrame:
@@ -300,9 +307,9 @@ class NearDuplicates:
     # -- result ---------------------------------------------------------------------------------------------------
     def run(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """``(doc_id, n_shingles, component_id, kept)``, one row for each row of ``docs``."""
-        rows = stored(sketches(docs, id_col, text_col), "cps-sketches")
+        rows = stored(sketches(docs, id_col, text_col, [i for _, i in self.picks]), "cps-sketches")
         classes = rows.where("key is not null and doc_id is not null").groupBy("key").agg(
-            F.min("doc_id").alias("cid"), F.min("sig").alias("sig"), F.min("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+            F.min("doc_id").alias("cid"), F.min("sig").alias("sig"), F.min("picked").alias("picked"), F.min("n").alias("n"), F.count(F.lit(1)).alias("copies"))
         reps = stored(classes, "cps-classes")
         found = components(stored(self.links(docs, reps, id_col, text_col), "cps-links")).select(F.col("id").alias("cid"), F.col("component").alias("root"))
         tied = reps.join(found, "cid", "left").where("copies > 1 or root is not null").select("key", F.coalesce("root", "cid").alias("root"))
