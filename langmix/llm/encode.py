@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -14,8 +15,13 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: White space other than space and newline, as either the tokenizers or Python may see it.
 ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u3000\ufeff]")
+#: Marks that close a word, and the end of the Latin letters whose case and class are beyond doubt.
+MARKS, LATIN_END = ".,;:!?*#$%&|", "\u0130"
+#: Byte-level vocabularies write bytes as characters: printable ones as they are, the others in order from U+0100.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_CHARS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
 #: Pieces that each worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 450_000
 #: Bytes of text that one call to the library gets.
 CALL_BYTES = 1 << 20
 _loaded: dict = {}
@@ -98,6 +104,7 @@ class PieceEncoder:
         ids = self.tok.encode(" \x01 " if drops_space else "\n", add_special_tokens=False).ids
         self.mark_id = ids[0] if len(ids) == 1 else None
         self.known: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bool:
         return not (ODD_SPACE.search(text) or not self.drops_space and ("  " in text or "\n " in text))
@@ -106,7 +113,43 @@ class PieceEncoder:
         parts = safe_split(text, CALL_BYTES)
         return b"".join(np.array(e.ids, np.uint32).tobytes() for e in self.tok.encode_batch_fast(parts, add_special_tokens=False))
 
+    def _stem(self, piece: str) -> str:
+        """The piece without closing marks after a Latin letter, which are a token of their own, and in lower case
+        where the vocabulary lowers; the piece itself where either is not certain."""
+        stem = piece.rstrip(MARKS)
+        if not stem or stem[-1] >= LATIN_END or not stem[-1].isalpha():
+            return piece
+        if self.drops_space and max(stem) < LATIN_END:
+            return stem.lower()
+        return stem
+
     def _learn(self, pieces: list[str]) -> None:
+        stems = list(map(self._stem, pieces))
+        self._encode_new(list(set(stems) - self.known.keys()))
+        for p, s in zip(pieces, stems):
+            if len(s) < len(p):
+                tail = p[len(s):]
+                if tail not in self.tails:
+                    self.tails[tail] = np.array(self.tok.encode(tail, add_special_tokens=False).ids, np.uint32).tobytes()
+                self.known[p] = self.known[s] + self.tails[tail]
+            else:
+                self.known[p] = self.known[s]
+
+    def _encode_new(self, pieces: list[str]) -> None:
+        """A run of Latin letters is one token of the pre-tokenizer, so it goes to the library's model at once; other
+        pieces go through the whole of the library, many in one text."""
+        run = self.tok.model.tokenize
+        lead = BYTE_CHARS[32] if self.lead else ""
+        rest = []
+        for p in pieces:
+            if p.isalpha() and max(p) < LATIN_END and not (self.drops_space and p != p.lower()):
+                got = run(lead + p.encode().decode("latin-1").translate(BYTE_CHARS))
+                self.known[p] = array("I", [t.id for t in got]).tobytes()
+            else:
+                rest.append(p)
+        self._encode_joined(rest)
+
+    def _encode_joined(self, pieces: list[str]) -> None:
         bar = "\x01" if self.drops_space else "\n"
         easy = [p for p in pieces if p and bar not in p] if self.mark_id is not None else []
         done = set()
@@ -143,6 +186,7 @@ class PieceEncoder:
         wanted = set().union(*(c for c in cut if c))
         if len(self.known) > REMEMBERED:
             self.known.clear()
+            self.tails.clear()
         new = list(wanted - self.known.keys())
         if new:
             self._learn(new)
