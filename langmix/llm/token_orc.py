@@ -55,8 +55,8 @@ def read_token_orc(spark: SparkSession, path: str) -> DataFrame:
 def token_digests(spark: SparkSession, path: str) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` from the files: ``start`` counts the ids of all documents before.
 
-    Ranges are summed first, so the running sum over all documents is one over the ranges (one row for each) and one
-    within each range. Lengths and checksums are taken from the ids read back, not from the length column."""
+    Ranges are summed first, by the length column alone, so the running sum over all documents is one over the ranges
+    (one row for each) and one within each range. Lengths and checksums are taken from the ids read back."""
     def digest(batches):
         for batch in batches:
             col = batch.column("ids")
@@ -68,7 +68,7 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
 
     rows = read_token_orc(spark, path).select("doc_id", "part", "ids").mapInArrow(digest, "doc_id long, part int, n_tokens long, ids_crc32 long")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = read_token_orc(spark, path).groupBy("part").agg(F.sum(F.size("ids")).alias("n")).select(
+    ranges = read_token_orc(spark, path).groupBy("part").agg(F.sum("n_tokens").alias("n")).select(
         "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
