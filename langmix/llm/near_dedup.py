@@ -120,7 +120,7 @@ class NearDuplicates:
     ``trees`` independent trees; in each a node picks every minwise token with a chance that leaves a pair at the
     threshold ``branching`` common children on average, and a document goes to the child named by its value of each
     picked token. Nodes up to ``leaf`` documents are compared exhaustively; a child that holds nearly all of its
-    parent is a dense group and compared as well, in shares of at most ``share`` documents.
+    parent is a dense group and compared as well; a task gets about ``share`` documents of a node at most.
     """
 
     def __init__(self, percent: int = 85, trees: int = 10, branching: float = 1.5, leaf: int = 2_000, share: int = 30_000,
@@ -176,32 +176,56 @@ class NearDuplicates:
         return out.distinct()
 
     def compare(self, rows: DataFrame) -> DataFrame:
-        """Ties of each node's documents. A node of more than ``share`` documents is compared in shares, whose
-        unconnected first documents then meet in further rounds."""
-        shares = F.ceil(F.col("size") / self.share)
-        rows = rows.withColumn("at", F.xxhash64("node", F.pmod(F.xxhash64("key"), shares)))
-        ties = self._ties(rows)
-        if rows.where(F.col("size") > self.share).isEmpty():
-            return ties.where("b is not null").select("a", "b")
+        """Ties ``(a, b)`` of each node's documents: what they connect is what all pairs of the node connect."""
+        small = rows.where(F.col("size") <= self.share)
+        ties = self._ties(small.withColumn("at", F.col("node")).withColumn("rest", F.lit(True)))
         big = rows.where(F.col("size") > self.share)
-        first = stored(self._ties(big), "cps-shares")
-        out = self._ties(rows.where(F.col("size") <= self.share)).where("b is not null").select("a", "b").unionByName(first.where("b is not null").select("a", "b"))
-        heads = first.where("b is null").select("node", F.col("a").alias("key")).join(rows.select("key", "sig", "cid").dropDuplicates(["key"]), "key")
-        sizes = heads.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        heads = stored(heads.join(sizes, "node"), "cps-heads")
-        left = heads.where(F.col("size") > self.share)
-        if not left.isEmpty() and left.count() >= big.count():
-            return out  # no share tied any two of its documents
-        return out.unionByName(self.compare(heads.select("cid", "key", "sig", F.lit(0).alias("above"), "node", "size")))
+        if not big.isEmpty():
+            ties = ties.unionByName(self.large_nodes(stored(big.select("node", "key", "sig", "size"), "cps-large")))
+        return ties.select("a", "b")
+
+    def large_nodes(self, big: DataFrame) -> DataFrame:
+        """Ties of nodes of more than ``share`` documents. The document with the most ties in its share is compared
+        with the whole node. What it ties is connected; the rest meets the rest and all that is tied, in tasks of two
+        slots of about ``share / 2`` documents each, so every pair not yet connected is compared."""
+        share = F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / self.share))
+        first = self._ties(big.withColumn("at", F.xxhash64("node", share)).withColumn("rest", F.lit(True)))
+        centre = first.groupBy("node", "a").count().groupBy("node").agg(F.max_by("a", F.struct("count", "a")).alias("key"))
+        # one row for each large node
+        centre = stored(centre.join(big, ["node", "key"]).select("node", F.col("key").alias("centre"), F.col("sig").alias("middle")), "cps-centres")
+        met = stored(self._meet(big.join(F.broadcast(centre), "node", "left")), "cps-met")
+        out = met.where("not rest and key <> centre").select("node", F.col("centre").alias("a"), F.col("key").alias("b"))
+        half = lambda n: F.ceil(n / (self.share / 2))
+        sums = met.groupBy("node").agg(F.count_if("rest").alias("n"), F.count_if(~F.col("rest")).alias("tied")).where("n > 0")
+        sums = sums.select("node", half(F.col("n")).alias("parts"), half(F.col("tied")).alias("others"))
+        slot = F.pmod(F.xxhash64("key"), F.when(F.col("rest"), F.col("parts")).otherwise(F.col("others")))
+        dealt = met.join(F.broadcast(sums), "node").withColumn("slot", F.when(F.col("rest"), slot).otherwise(F.col("parts") + slot))
+        last = F.col("parts") - 1 + F.when(F.col("rest"), F.col("others")).otherwise(F.lit(0))
+        pairs = dealt.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+        return out.unionByName(self._ties(pairs.withColumn("at", F.xxhash64("node", F.least("slot", "j"), F.greatest("slot", "j")))))
+
+    def _meet(self, rows: DataFrame) -> DataFrame:
+        """``(node, key, sig, centre, rest)``; ``rest``: the node's centre does not tie the document."""
+        common = self.common
+
+        def run(batches):
+            for batch in batches:
+                sig, middle = batch.column("sig").to_pylist(), batch.column("middle").to_pylist()
+                rest = [m is None or int((np.frombuffer(s, np.uint16) == np.frombuffer(m, np.uint16)).sum()) < common for s, m in zip(sig, middle)]
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("node", "key", "sig", "centre")] + [pa.array(rest, pa.bool_())],
+                                                 names=["node", "key", "sig", "centre", "rest"])
+
+        return rows.select("node", "key", "sig", "centre", "middle").mapInArrow(run, "node long, key binary, sig binary, centre binary, rest boolean")
 
     def _ties(self, rows: DataFrame) -> DataFrame:
-        """``(node, a, b)``: b tied to a; b null: a heads its ties within the share."""
+        """``(node, a, b)``: b tied to a, among the documents of one ``at``. Pairs without one of the ``rest`` need not
+        be met."""
         common = self.common
 
         def run(batches):
             for t in segments(batches, "at"):
                 at, node = t["at"].to_numpy(), t["node"].to_numpy()
-                keys = t["key"].to_pylist()
+                keys, rest = t["key"].to_pylist(), t["rest"].to_numpy()
                 sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(-1, TOKENS)
                 ends = np.flatnonzero(np.append(at[1:] != at[:-1], True)) + 1
                 starts = np.concatenate([[0], ends[:-1]])
@@ -212,13 +236,12 @@ class NearDuplicates:
                 for s, e, two, close in zip(starts.tolist(), ends.tolist(), pairs.tolist(), near.tolist()):
                     name = int(node[s])
                     if two:
-                        out.append((name, keys[s], None))
-                        out.append((name, keys[s], keys[s + 1]) if close else (name, keys[s + 1], None))
+                        if close:
+                            out.append((name, keys[s], keys[s + 1]))
                         continue
                     left = np.arange(s, e)
-                    while len(left):
+                    while len(left) and rest[left[0]]:  # the rest comes first
                         head, left = left[0], left[1:]
-                        out.append((name, keys[head], None))
                         front = [head]
                         while front and len(left):  # every pair is met until it is tied
                             p = front.pop()
@@ -230,7 +253,7 @@ class NearDuplicates:
                 cols = list(zip(*out)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["node", "a", "b"])
 
-        spread = rows.select("at", "node", "key", "sig").repartition("at").sortWithinPartitions("at", "key")
+        spread = rows.select("at", "node", "key", "sig", "rest").repartition("at").sortWithinPartitions("at", F.desc("rest"), "key")
         return spread.mapInArrow(run, "node long, a binary, b binary")
 
     # -- confirmation ---------------------------------------------------------------------------------------------

@@ -111,3 +111,41 @@ def test_exact_links_connect_what_full_sets_connect():
         ra, rb = root[a], root[b]
         root = [min(ra, rb) if x in (ra, rb) else x for x in root]
     assert root == [want[i] for i in range(len(sets))]
+
+
+def template_rows():
+    """Documents that share most of a template, too little to be near duplicates; near copies planted among them, and a
+    chain of versions whose ends are not alike."""
+    rng = random.Random(11)
+    template = data.prose(rng, 200).split()
+    texts = [template + [f"own{i}x{k}" for k in range(70)] for i in range(400)]
+    texts += [texts[i][:-4] + [f"edit{i}x{k}" for k in range(4)] for i in range(60)]
+    version = template + [f"v{k}" for k in range(100)]
+    for k in range(60):
+        version = list(version)
+        version[200 + 10 * (k % 10)] = f"step{k}"
+        texts.append(version)
+    rng.shuffle(texts)
+    return [(i, " ".join(t), "en", "src0", 0) + ("c",) * len(data.CLASHES) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("parameters", [{"depth": 0}, {"leaf": 20, "depth": 2}])
+def test_large_nodes_are_compared_across_shares(spark, parameters):
+    rows = template_rows()
+    want = brute(rows)
+    assert len(set(want.values())) == 400 + 1
+    got = NearDuplicates(share=40, **parameters).run(data.table(spark, rows)).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_every_pair_of_a_large_node_is_met(spark):
+    rng = np.random.default_rng(2)
+    sig = rng.integers(0, 2 ** 16, (300, 64)).astype(np.uint16)
+    sig[1:150] = sig[0]  # tied to one centre
+    sig[150:200] = sig[200:250]
+    rows = [(1, bytes([i % 256, i // 256]), s.tobytes(), 300) for i, s in enumerate(sig)]
+    got = NearDuplicates(share=20).compare(spark.createDataFrame(rows, "node long, key binary, sig binary, size long")).collect()
+    number = lambda k: k[0] + 256 * k[1]
+    edges = [(number(r.a), number(r.b)) for r in got]
+    roots = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert roots == {**{i: 0 for i in range(150)}, **{i: 150 + (i - 150) % 50 for i in range(150, 250)}}
