@@ -13,11 +13,12 @@ from langmix.llm import quality_knn
 from langmix.llm.common import stored
 from langmix.llm.encode import tokenizer_path
 from langmix.llm.line_dedup import drop_common_lines
-from langmix.llm.mixing import mix
+from langmix.llm.mixing import mix, with_tokens
 from langmix.llm.near_dedup import near_dedup
 from langmix.llm.packing import pack
 from langmix.sources.tables import table
 
+VOCABULARY = "byte_bpe_50k.json"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -38,13 +39,15 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources repeated towards the target weights, at most twice; every document stays at least once."""
-    return mix(docs).select(*COLUMNS)
+    """Sources repeated towards the target weights, at most twice; every document stays at least once. Weights are of
+    the tokens that ``packed`` places: the encoder's and one end id for each document."""
+    docs = stored(with_tokens(docs, tokenizer_path(VOCABULARY)), "mixed-tokens")
+    return mix(docs, tokens=F.col("n_tokens") + 1).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2,048 tokens."""
-    return pack(docs, tokenizer_path("byte_bpe_50k.json"), end_id=1)
+    return pack(docs, tokenizer_path(VOCABULARY), end_id=1)
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near", near), ("mixed", mixed), ("packed", packed)]

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from langmix.llm.common import stored
+from langmix.llm.common import stored, without
+from langmix.llm.encode import by_bytes, encoder, texts_of
 
 #: Interior points tried by one job of the bisection: four halvings at once.
 POINTS = 15
@@ -20,6 +23,21 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")), F.lit(0)).cast("long")
 
 
+def with_tokens(docs: DataFrame, tokenizer: str, text_col: str = "text", drops_space: bool = False) -> DataFrame:
+    """All input columns and ``n_tokens`` (replaces a column of that name): the whole text's tokens, without special
+    ones. Null and empty texts have none. Texts are encoded wherever the frame is read: store it before mixing."""
+    rows = docs.select(*without(docs, "n_tokens"))
+    schema = StructType([*rows.schema.fields, StructField("n_tokens", LongType())])
+
+    def run(batches):
+        enc = encoder(tokenizer, drops_space)
+        for batch in by_bytes(batches, text_col):
+            counts = [len(ids) // 4 for ids in enc.encode(texts_of(batch, text_col))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64())], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def _moments(shares: DataFrame, exponents: list[float]) -> list[tuple[float, float]]:
     """(entropy in nats, most epochs) of the mix at each exponent, from one aggregate over the shares."""
     aggs = []

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from langmix.llm import quality_gbt, quality_knn
+from langmix.llm.common import stored
 from langmix.llm.encode import tokenizer_path
 from langmix.llm.exact_dedup import exact_dedup
 from langmix.llm.line_dedup import drop_common_lines
-from langmix.llm.mixing import mix
+from langmix.llm.mixing import mix, with_tokens
 from langmix.llm.near_dedup import NearDuplicates
 from langmix.llm.packing import pack
 from langmix.llm.token_count import token_counts
@@ -54,7 +55,10 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(table(spark, sf_dir, "documents"))
+    docs = with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), tokenizer_path(BYTE_BPE))
+    # the text stands for itself by its hash from here on
+    docs = stored(docs.select("doc_id", F.xxhash64("text").alias("text"), "source", "n_tokens"), "mix-tokens")
+    mixed = mix(docs, tokens=F.col("n_tokens"))
     return mixed.select("doc_id", "source", "mix_epoch", "mix_block", "mix_tokens", "mix_weight")
 
 

@@ -3,7 +3,8 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from langmix.llm.mixing import find_exponent, mix, mixing_plan, word_count
+from langmix.llm.encode import encode_counts, load, tokenizer_path
+from langmix.llm.mixing import find_exponent, mix, mixing_plan, with_tokens, word_count
 from tests.llm import data
 
 
@@ -71,3 +72,27 @@ def test_exponent_bounds(spark):
     p = spark.createDataFrame([(0.5,), (0.25,), (0.25,)], "p double")
     assert find_exponent(p, 0.1, None, None) > 1 - 1e-6  # already flatter than asked
     assert find_exponent(p, 1.0, None, None) < 1e-3
+
+
+def test_tokens_are_the_encoders(spark):
+    path = tokenizer_path("byte_bpe_50k.json")
+    rows = data.awkward()
+    got = with_tokens(data.table(spark, rows), path).select("doc_id", "text", "n_tokens").collect()
+    want = encode_counts(load(path), [r[1] or "" for r in rows])
+    assert Counter(tuple(r) for r in got) == Counter((r[0], r[1], int(n)) for r, n in zip(rows, want))
+
+
+def test_registered_query_and_stage_weigh_by_encoder_tokens(spark, tmp_dir):
+    import __spark_entry__ as E
+    import corpus_pipeline
+
+    rows = [(i, "\u4e2d\u6587\u6ca1\u6709\u7a7a\u683c" * 40, "zh", "unspaced", 240) for i in range(20)]
+    rows += [(100 + i, "plain words with blanks " * 40, "en", "spaced", 960) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_dir}/documents.parquet")
+    tokens = {s: int(encode_counts(load(tokenizer_path("byte_bpe_50k.json")), [t])[0]) for _, t, _, s, _ in rows}
+    assert tokens["unspaced"] > 100
+    got = E.queries()["op7_mixing"](spark, tmp_dir).collect()
+    assert {(r.source, r.mix_tokens) for r in got} == set(tokens.items())
+    mixed = Counter(r.source for r in corpus_pipeline.mixed(spark, docs, tmp_dir).collect())
+    assert max(mixed.values()) < 40  # by words, the texts without blanks would be read twice
