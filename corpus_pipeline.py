@@ -40,9 +40,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources repeated towards the target weights, at most twice; every document stays at least once. Weights are of
-    the tokens that ``packed`` places: the encoder's and one end id for each document."""
+    the tokens that ``packed`` places: the encoder's and one end id for each document. Rows are stored in the order
+    of the mix."""
+    order = ("mix_epoch", "mix_block", "mix_place")
     docs = stored(with_tokens(docs, tokenizer_path(VOCABULARY)), "mixed-tokens")
-    return mix(docs, tokens=F.col("n_tokens") + 1).select(*COLUMNS)
+    dealt = mix(docs, tokens=F.col("n_tokens") + 1).select(*COLUMNS, *order)
+    return dealt.repartitionByRange(*order).sortWithinPartitions(*order).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -103,12 +103,12 @@ def mix(docs: DataFrame, tokens: Column | None = None, id_col: str = "doc_id", t
     they fit the budget, and of the block that crosses it the documents, in hash order, whose start lies within the
     budget. Only that block of each source is ranked. With ``budget`` None no source is read less than once.
 
-    Adds ``mix_epoch`` (from 0), ``mix_block``, ``mix_tokens`` and ``mix_weight`` (they replace input columns of that
-    name); sort by (mix_epoch, mix_block) to read the mix. Null sources are a source of their own; a null text has no
+    Adds ``mix_epoch`` (from 0), ``mix_block``, ``mix_place`` (a hash), ``mix_tokens`` and ``mix_weight`` (they replace
+    input columns of that name); sort by (mix_epoch, mix_block, mix_place) to read the mix. Null sources are a source of their own; a null text has no
     tokens; documents without tokens are read once in each epoch they fall in. Rows with equal ids and texts share a
     place and are taken or left together. One source keeps weight 1. An empty table gives an empty table.
     """
-    names = ("mix_epoch", "mix_block", "mix_tokens", "mix_weight")
+    names = ("mix_epoch", "mix_block", "mix_place", "mix_tokens", "mix_weight")
     kept = [c for c in docs.columns if c.lower() not in names]
     count = tokens if tokens is not None else word_count(F.col(text_col))
     base = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"),
@@ -143,4 +143,4 @@ def mix(docs: DataFrame, tokens: Column | None = None, id_col: str = "doc_id", t
     times = F.col("full") + F.when(F.coalesce(extra, F.lit(False)), F.lit(1)).otherwise(F.lit(0))
     dealt = rows.withColumn("e", F.explode(F.filter(F.sequence(F.lit(0), times), lambda e: e < times)))
     return dealt.select("row.*", F.col("e").alias("mix_epoch"), block(place(F.col("e")), F.col("blocks")).alias("mix_block"),
-                        F.col("n").alias("mix_tokens"), F.col("weight").alias("mix_weight"))
+                        place(F.col("e")).alias("mix_place"), F.col("n").alias("mix_tokens"), F.col("weight").alias("mix_weight"))

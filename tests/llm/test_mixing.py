@@ -96,3 +96,23 @@ def test_registered_query_and_stage_weigh_by_encoder_tokens(spark, tmp_dir):
     assert {(r.source, r.mix_tokens) for r in got} == set(tokens.items())
     mixed = Counter(r.source for r in corpus_pipeline.mixed(spark, docs, tmp_dir).collect())
     assert max(mixed.values()) < 40  # by words, the texts without blanks would be read twice
+
+
+def test_stage_stores_the_order_of_the_mix(spark, tmp_dir):
+    import corpus_pipeline
+
+    rows = [(k * 10_000 + i, f"words of text {k} {i}", "en", f"s{k}", 20) for k, n in enumerate([900, 60]) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    corpus_pipeline.mixed(spark, docs, tmp_dir).write.parquet(f"{tmp_dir}/mixed")
+    back = spark.read.parquet(f"{tmp_dir}/mixed").select("doc_id", "_metadata.file_name", "_metadata.row_index").collect()
+    stored_ids = [r.doc_id for r in sorted(back, key=lambda r: (r.file_name, r.row_index))]
+    at = defaultdict(list)
+    for i, d in enumerate(stored_ids):
+        at[d].append(i)
+    twice = [v for v in at.values() if len(v) == 2]
+    assert len(twice) >= 50 and len(at) == 960
+    assert min(v[1] for v in twice) > max(v[0] for v in at.values())  # all of the first epoch comes first
+    first = stored_ids[:960]
+    assert first != sorted(first) and [d for d in first if d < 10_000][:20] != list(range(20))
+    small = [i for i, d in enumerate(first) if d >= 10_000]
+    assert max(small) - min(small) > 400  # sources are mingled
