@@ -13,6 +13,7 @@ from langmix.llm.line_dedup import drop_common_lines
 from langmix.llm.mixing import mix, with_tokens
 from langmix.llm.near_dedup import NearDuplicates
 from langmix.llm.packing import pack
+from langmix.llm.spelling import damaged_words, spelling_groups
 from langmix.llm.token_count import token_counts
 from langmix.llm.token_orc import token_digests, write_token_orc
 from langmix.llm.url_rules import judge_urls, rule_table
@@ -77,9 +78,13 @@ def op10_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gbt.judge(docs, model).select("doc_id", *quality_gbt.BASE, "base_failed", "kept")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(damaged_words(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_quality_knn, op3_token_orc, op4_url_rules, op5_exact_dedup, op6_near_dedup, op7_mixing, op8_token_count, op9_packing,
-    op10_quality_gbt)}
+    op10_quality_gbt, op11_spelling)}
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
