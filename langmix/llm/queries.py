@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from langmix.llm import quality_gbt, quality_knn
+from langmix.llm import maxent_lm, quality_gbt, quality_knn
 from langmix.llm.common import stored
 from langmix.llm.encode import tokenizer_path
 from langmix.llm.exact_dedup import exact_dedup
+from langmix.llm.lexical_search import ranked_search
 from langmix.llm.line_dedup import drop_common_lines
 from langmix.llm.mixing import mix, with_tokens
 from langmix.llm.near_dedup import NearDuplicates
@@ -82,9 +83,19 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_groups(damaged_words(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op13_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, vocabulary = maxent_lm.fit(docs)
+    return maxent_lm.score(docs, model, vocabulary)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_quality_knn, op3_token_orc, op4_url_rules, op5_exact_dedup, op6_near_dedup, op7_mixing, op8_token_count, op9_packing,
-    op10_quality_gbt, op11_spelling)}
+    op10_quality_gbt, op11_spelling, op12_lexical_search, op13_maxent_lm)}
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -124,4 +135,39 @@ ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT ways.b, reach.root FROM reach JOIN ways ON ways.a = reach.id),
 roots AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id)
 SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN roots ON id = doc_id""",
+    "op11_spelling": rf"""
+WITH RECURSIVE
+-- crc32 by its 256 remainders
+steps(i, c, k) AS (SELECT i, i, 0 FROM range(256) t(i) UNION ALL
+                   SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS r FROM steps WHERE k = 8),
+runs AS (SELECT doc_id, unnest(regexp_extract_all({_NORM}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+bytes AS (SELECT run, n, list_transform(range(1, CAST(octet_length(encode(doc_id || ':' || run)) AS BIGINT) + 1),
+                 lambda i: CAST('0x' || substr(hex(encode(doc_id || ':' || run)), 2 * i - 1, 2) AS BIGINT)) AS b FROM counted),
+hashed AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, r[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM bytes, crc),
+damaged AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, n FROM hashed),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM damaged WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+gaps AS (SELECT word, n, i, substr(word, 1, CAST(i AS INT) - 1) AS a, substr(word, CAST(i AS INT) + 1) AS z FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (SELECT x.word, y.word AS other, y.n AS m FROM gaps x JOIN gaps y ON x.i = y.i AND x.a = y.a AND x.z = y.z AND x.word <> y.word
+         UNION SELECT x.word, y.word, y.n FROM gaps x JOIN w y ON x.a || x.z = y.word
+         UNION SELECT y.word, x.word, x.n FROM gaps x JOIN w y ON x.a || x.z = y.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, other)) AS other, max(m) AS m FROM near GROUP BY word),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * w.n THEN other END AS form, CASE WHEN m >= 10 * w.n THEN m END AS form_n
+          FROM w LEFT JOIN best USING (word)),
+walk(word, step) AS (SELECT word, word FROM forms UNION ALL SELECT walk.word, f.form FROM walk JOIN forms f ON f.word = walk.step WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, walk.step AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN walk ON walk.word = f.word JOIN forms e ON e.word = walk.step AND e.form IS NULL""",
+    "op12_lexical_search": rf"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all({_NORM}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+d AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM c GROUP BY doc_id),
+s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS len FROM d),
+m AS (SELECT doc_id, 100 - 25 + ((25 * n * docs) // len) AS m FROM d, s),
+f AS (SELECT term, count(*) AS df FROM c GROUP BY term),
+q AS (SELECT item_id, unnest(regexp_extract_all({_NORM}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+w AS (SELECT item_id, term, count(*) * CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM q JOIN f USING (term), s GROUP BY item_id, term, docs, df),
+r AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM w JOIN c USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM r WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20""",
 }

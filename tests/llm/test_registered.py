@@ -8,17 +8,17 @@ OPS = [k for k in E.queries() if k.startswith("op")]
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(k[2:].split("_")[0]) for k in OPS) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in OPS) == list(range(1, 14))
     assert "pipeline" in E.queries() and corpus_pipeline.ORACLE_SQL is None
     assert [f.__module__ for _, f in corpus_pipeline.STAGES] == ["corpus_pipeline"] * 5
 
 
-@pytest.mark.parametrize("key", ["op1_line_dedup", "op4_url_rules", "op5_exact_dedup"])
+@pytest.mark.parametrize("key", ["op1_line_dedup", "op4_url_rules", "op5_exact_dedup", "op11_spelling", "op12_lexical_search"])
 def test_oracle(spark, key):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     got = E.queries()[key](spark, SF_SMALL)
     rel = con.sql(E.oracle_sql()[key])
