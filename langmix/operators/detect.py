@@ -7,9 +7,17 @@
 with ``c_L(g)`` the training count of gram g in language L, ``N_L`` the total
 grams of L and ``V`` the number of distinct training grams. Splitting the sum
 into ``T_doc * floor_L + sum_{g seen in L} count_doc(g) * ln(c_L(g) + 1)``
-(``floor_L = -ln(N_L + V)``) means scoring only joins document grams with the
-grams the model has seen -- an inner equi-join, no doc x language product.
-Probabilities are the softmax of the per-language scores.
+(``floor_L = -ln(N_L + V)``) means scoring only meets document grams with the
+grams the model has seen. Probabilities are the softmax of the scores.
+
+Grams of up to three code points are packed into a long. The model is one row
+for each gram, with a vector of the languages that have it, so its rows follow
+the grams, not grams times languages. There is one way of scoring at every
+size: documents are dealt to blocks of about ``BLOCK_BYTES`` of text where they
+are read; a block asks for each of its distinct grams once, and its documents
+are scored where the answers meet them. What moves is one row for each gram of
+a block, and a document's grams as places in its block; nothing is broadcast
+but the ``HOT`` most frequent grams at most, whose rows are salted.
 
 The detector interface (M1) is ``transform(df, id_col, text_col)`` ->
 ``id, pred_lang, pred_prob, top_preds array<struct<lang, prob>>``.
@@ -18,129 +26,251 @@ The detector interface (M1) is ``transform(df, id_col, text_col)`` ->
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from langmix.functions.text import char_ngram_count, char_ngrams, ngram_text
+from langmix.functions.arrow import ragged, runs, slices
+from langmix.functions.text import ngram_text
+from langmix.session import stored
 
-# Above this many (language, gram) rows the model is joined by shuffle (with
-# AQE skew splitting) instead of being broadcast.
-BROADCAST_MODEL_ROWS = 2_000_000
+#: Bytes of text in a block of documents.
+BLOCK_BYTES = 4 << 20
+#: Grams with at least one in so many of all training grams are salted (so many of each order at most).
+HOT, SALTS = 10_000, 16
+#: (language, gram) counts that a task holds before it hands them on.
+HELD = 1_000_000
+_DIGIT = np.int64(21)
 
 
 @dataclass
 class CharNgramModel:
     n: int
-    grams: DataFrame  # label, g, delta
+    counts: DataFrame  # n, label, g, c
+    vectors: DataFrame  # n, g, v: array of (language's place, delta)
+    hot: np.ndarray  # packed grams that are salted, ascending
     floors: dict[str, float]  # label -> floor (one entry per language: a small dimension)
-    model_rows: int
+    places: list[str]  # the languages in the order of the vectors' places
     vocab_size: int = 0
 
     @property
     def labels(self) -> list[str]:
         return sorted(self.floors)
 
+    @property
+    def grams(self) -> DataFrame:
+        return self.counts.where(F.col("n") == self.n).select("label", "g", F.log(F.col("c") + 1).alias("delta"))
+
     def transform(self, df: DataFrame, id_col: str, text_col: str, k: int = 3) -> DataFrame:
-        return detect(self, df, id_col, text_col, k)
+        return detect_all({self.n: self}, df, id_col, text_col, k).drop("n")
 
 
-def fit_char_ngram(train: DataFrame, text_col: str, label_col: str, n: int = 3) -> CharNgramModel:
-    """M2 fit: one grouped count over exploded grams (partial aggregation map-side),
-    checkpointed; then one pass for the vocabulary size and one small per-label sum."""
-    padded = train.select(F.col(label_col).alias("label"), ngram_text(text_col).alias("__p"))
-    grams = padded.select("label", F.explode(char_ngrams("__p", n)).alias("g"))
-    counts = grams.groupBy("label", "g").agg(F.count(F.lit(1)).alias("c")).checkpoint()
-    stats = counts.agg(F.countDistinct("g").alias("v"), F.count(F.lit(1)).alias("rows")).first()
-    totals = counts.groupBy("label").agg(F.sum("c").alias("n")).collect()
-    floors = {r["label"]: -math.log(r["n"] + stats["v"]) for r in totals}
-    model = counts.select("label", "g", F.log(F.col("c") + 1).alias("delta"))
-    return CharNgramModel(n, model, floors, stats["rows"], stats["v"])
+def pack_grams(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """All n-grams of code points of ``texts`` in order, packed, and which text each belongs to. Code points plus one
+    are digits of 21 bits, so grams of different orders differ; beyond three digits a 64-bit hash stands for them."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    digits = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1
+    inside = np.arange(len(digits)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    first = np.flatnonzero(inside + n <= np.repeat(sizes, sizes))
+    g = digits[first]
+    for k in range(1, n):
+        g = (g << _DIGIT) | digits[first + k] if n <= 3 else (g ^ (g >> np.int64(29))) * np.int64(0x9E3779B97F4A7C1) + digits[first + k]
+    if n > 3:
+        g = (g << np.int64(4)) | np.int64(n % 16) | np.int64(-1 << 63)
+    return g, np.repeat(np.arange(len(texts)), sizes)[first]
 
 
 def fit_char_ngram_multi(train: DataFrame, text_col: str, label_col: str, ns=(1, 2, 3)) -> dict[int, CharNgramModel]:
-    """Fit several n-gram orders from one scan: the grams of every order are
-    exploded together and counted by one grouped aggregate keyed by ``n``."""
-    padded = train.select(F.col(label_col).alias("label"), ngram_text(text_col).alias("__p"))
-    def tag(n: int):
-        # a one-argument lambda: Spark would read a second parameter as the index
-        return F.transform(char_ngrams("__p", n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
-
-    tagged = F.concat(*[tag(n) for n in ns])
-    grams = padded.select("label", F.inline(tagged))
-    counts = grams.groupBy("n", "label", "g").agg(F.count(F.lit(1)).alias("c")).checkpoint()
-    stats = {r["n"]: r for r in counts.groupBy("n").agg(
-        F.countDistinct("g").alias("v"), F.count(F.lit(1)).alias("rows")).collect()}
-    totals = counts.groupBy("n", "label").agg(F.sum("c").alias("tot")).collect()
+    """M2 fit of several n-gram orders from one scan: tasks count (language, gram) first, in bounded memory; one
+    grouped sum and one table of vectors serve all orders. Null texts have no grams."""
+    orders = sorted(ns)
+
+    def merge(held):
+        n, label, g, c = (np.concatenate(x) for x in zip(*held))
+        at = np.lexsort([g, label, n])
+        n, label, g, c = n[at], label[at], g[at], c[at]
+        first = runs(n, label, g)
+        return n[first], label[first], g[first], np.add.reduceat(c, first) if len(first) else c
+
+    most = HELD
+
+    def count(batches):
+        names: dict[str, int] = {}
+        held, rows = [], 0
+
+        def rows_of(n, label, g, c):
+            return pa.RecordBatch.from_arrays([pa.array(n.astype(np.int32)), pa.array(list(names), pa.string()).take(pa.array(label)), pa.array(g), pa.array(c)],
+                                              names=["n", "label", "g", "c"])
+
+        for batch in slices(batches, "p"):
+            label = np.array([names.setdefault(x, len(names)) for x in batch.column("label").to_pylist()], np.int64)
+            texts = batch.column("p").to_pylist()
+            for n in orders:
+                g, doc = pack_grams(texts, n)
+                at = np.lexsort([g, label[doc]])
+                g, own = g[at], label[doc][at]
+                first = runs(own, g)
+                held.append((np.full(len(first), n), own[first], g[first], np.diff(np.append(first, len(g)))))
+                rows += len(first)
+            if rows > most:
+                held = [merge(held)]
+                rows = len(held[0][0])
+                if rows > most // 2:
+                    yield rows_of(*held[0])
+                    held, rows = [], 0
+        if held:
+            yield rows_of(*merge(held))
+
+    padded = train.select(F.col(label_col).alias("label"), ngram_text(text_col).alias("p")).where("p is not null and label is not null")
+    parts = padded.mapInArrow(count, "n int, label string, g long, c long")
+    counts = stored(parts.groupBy("n", "label", "g").agg(F.sum("c").alias("c")), "ngram-counts")
+    totals = counts.groupBy("n", "label").agg(F.sum("c").alias("total")).collect()  # one row for each language and order
+    names = sorted({r["label"] for r in totals})
+    places = counts.sparkSession.createDataFrame(list(enumerate(names)), "i int, label string")
+    vectors = counts.join(places, "label").groupBy("n", "g").agg(
+        F.sort_array(F.collect_list(F.struct("i", F.log(F.col("c") + 1).alias("d")))).alias("v"), F.sum("c").alias("c"))
+    vectors = stored(vectors, "ngram-vectors")
+    sizes = {r["n"]: (r["v"], r["c"]) for r in vectors.groupBy("n").agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("c")).collect()}
+    frequent = F.lit(False)
+    for n, (_, c) in sizes.items():
+        frequent = frequent | ((F.col("n") == n) & (F.col("c") * HOT >= c))
+    hot = {n: [] for n in orders}
+    for r in vectors.where(frequent).select("n", "g").collect():  # HOT for each order at most
+        hot[r["n"]].append(r["g"])
     models = {}
-    for n in ns:
-        st = stats.get(n)
-        v, rows = (st["v"], st["rows"]) if st else (0, 0)
-        floors = {r["label"]: -math.log(r["tot"] + v) for r in totals if r["n"] == n}
-        grams_n = counts.filter(F.col("n") == n).select("label", "g", F.log(F.col("c") + 1).alias("delta"))
-        models[n] = CharNgramModel(n, grams_n, floors, rows, v)
+    for n in orders:
+        v = sizes.get(n, (0, 0))[0]
+        own = [r for r in totals if r["n"] == n]
+        # an order may lack a language whose texts are too short for it: it has no floor, as if never trained
+        floors = {r["label"]: -math.log(r["total"] + v) for r in own}
+        models[n] = CharNgramModel(n, counts, vectors, np.sort(np.array(hot[n], np.int64)), floors, names, v)
     return models
 
 
-def wide_model(model: CharNgramModel) -> DataFrame:
-    """One row per gram: ``d`` = array of deltas in label order (0 where unseen)."""
-    labels = model.labels
-    piv = model.grams.groupBy("g").pivot("label", labels).agg(F.first("delta"))
-    return piv.select("g", F.array(*[F.coalesce(F.col(f"`{lab}`"), F.lit(0.0)) for lab in labels]).alias("d"))
-
-
-def detect(model: CharNgramModel, df: DataFrame, id_col: str, text_col: str, k: int = 3) -> DataFrame:
-    """M1/M4: top-k languages with softmax probabilities for every row (whole text)."""
-    padded = df.select(F.col(id_col).alias("__id"), ngram_text(text_col).alias("__p"))
-    totals = padded.select("__id", char_ngram_count("__p", model.n).cast("double").alias("__T"))
-    grams = padded.select("__id", F.explode(char_ngrams("__p", model.n)).alias("g"))
-    labels = model.labels
-    if model.vocab_size * max(len(labels), 1) <= BROADCAST_MODEL_ROWS:
-        # Broadcast model, one row per gram with every language's delta: each
-        # gram matches at most one row (no fan-out), a document's grams never
-        # leave its partition, and the per-document sums collapse map-side, so
-        # only one row per document is shuffled.
-        sums = grams.join(F.broadcast(wide_model(model)), "g").groupBy("__id").agg(
-            *[F.sum(F.col("d")[i]).alias(f"__s{i}") for i in range(len(labels))]
-        )
-        seen = sums.select("__id", F.map_from_arrays(
-            F.array(*[F.lit(lab) for lab in labels]), F.array(*[F.col(f"__s{i}") for i in range(len(labels))])
-        ).alias("__m"))
-    else:
-        # Large model: grams are shuffled by g anyway, so count them per doc
-        # first; AQE splits skewed (frequent-gram) partitions of the join.
-        doc_grams = grams.groupBy("__id", "g").agg(F.count(F.lit(1)).alias("__k"))
-        per_lang = doc_grams.join(model.grams, "g").groupBy("__id", "label").agg(
-            F.sum(F.col("__k") * F.col("delta")).alias("__s")
-        )
-        seen = per_lang.groupBy("__id").agg(F.map_from_entries(F.collect_list(F.struct("label", "__s"))).alias("__m"))
-    floors = model.floors
-    entries = F.array(
-        *[F.struct(F.lit(lab).alias("lang"), F.lit(floors[lab]).alias("fl")) for lab in model.labels]
-    )
-    scored = totals.join(seen, "__id", "left").select(
-        "__id",
-        F.transform(
-            entries,
-            lambda e: F.struct(
-                (-(F.col("__T") * e["fl"] + F.coalesce(F.try_element_at("__m", e["lang"]), F.lit(0.0)))).alias("neg"),
-                e["lang"].alias("lang"),
-            ),
-        ).alias("__sc"),
-    )
-    ranked = scored.select("__id", F.sort_array("__sc").alias("__sc"))
-    best = F.element_at("__sc", 1)["neg"]
-    z = F.aggregate("__sc", F.lit(0.0), lambda acc, x: acc + F.exp(best - x["neg"]))
-    probs = ranked.select(
-        "__id",
-        F.transform(
-            F.slice("__sc", 1, k), lambda x: F.struct(x["lang"].alias("lang"), (F.exp(best - x["neg"]) / z).alias("prob"))
-        ).alias("top_preds"),
-    )
-    return probs.select(
-        F.col("__id").alias(id_col),
-        F.element_at("top_preds", 1)["lang"].alias("pred_lang"),
-        F.element_at("top_preds", 1)["prob"].alias("pred_prob"),
-        "top_preds",
-    )
+def fit_char_ngram(train: DataFrame, text_col: str, label_col: str, n: int = 3) -> CharNgramModel:
+    """M2 fit of one order."""
+    return fit_char_ngram_multi(train, text_col, label_col, (n,))[n]
+
+
+def _dealt(df: DataFrame, id_col: str, text_col: str, orders: list[int]) -> DataFrame:
+    """Blocks of documents: a row for each document (its grams as places in its block's list, and their counts), and
+    one for each block (its distinct grams)."""
+    rows = df.select(F.col(id_col).alias("id"), ngram_text(text_col).alias("p"))
+    schema = StructType([StructField("block", LongType()), StructField("id", rows.schema["id"].dataType), StructField("length", LongType()),
+                         *(StructField(c, BinaryType()) for c in ("at", "k", "grams"))])
+
+    most = BLOCK_BYTES
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 32
+        for batch in slices(batches, "p", most):
+            texts = [t or "" for t in batch.column("p").to_pylist()]
+            found = [pack_grams(texts, n) for n in orders]
+            grams, place = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
+            key = np.concatenate([d for _, d in found]) * len(grams) + place
+            key, k = np.unique(key, return_counts=True)
+            doc, at = np.divmod(key, max(len(grams), 1))
+            ends = np.searchsorted(doc, np.arange(len(texts) + 1))
+            cut = list(zip(ends[:-1].tolist(), ends[1:].tolist()))
+            at, k = at.astype(np.int32), k.astype(np.int32)
+            ids = batch.column("id")
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(len(texts) + 1, block)), pa.concat_arrays([ids, pa.nulls(1, ids.type)]),
+                pa.concat_arrays([pa.compute.utf8_length(batch.column("p")).cast(pa.int64()), pa.nulls(1, pa.int64())]),
+                pa.array([*(at[a:b].tobytes() for a, b in cut), None], pa.binary()), pa.array([*(k[a:b].tobytes() for a, b in cut), None], pa.binary()),
+                pa.array([None] * len(texts) + [grams.tobytes()], pa.binary())], names=schema.names)
+            block += 1
+
+    return stored(rows.mapInArrow(run, schema), "ngram-blocks")
+
+
+def detect_all(models: Mapping[int, CharNgramModel], df: DataFrame, id_col: str, text_col: str, k: int = 3) -> DataFrame:
+    """M1/M4 for models fitted together: ``n``, the id, and the top-k languages with softmax probabilities for every
+    row and order, from one pass over the whole texts. A null text gives nulls."""
+    orders = sorted(models)
+    some = models[orders[0]]
+    rows = _dealt(df, id_col, text_col, orders)
+    hot = np.sort(np.concatenate([models[n].hot for n in orders]))
+
+    def ask(batches):
+        for batch in batches:
+            for block, grams in zip(batch.column("block").to_pylist(), batch.column("grams").to_pylist()):
+                g = np.frombuffer(grams, np.int64)
+                near = np.minimum(np.searchsorted(hot, g), max(len(hot) - 1, 0))
+                salt = np.where(hot[near] == g, block % SALTS, 0) if len(hot) else np.zeros(len(g), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), block)), pa.array(np.arange(len(g), dtype=np.int32)), pa.array(g), pa.array(salt.astype(np.int32))],
+                                                 names=["block", "at", "g", "salt"])
+
+    asked = rows.where("grams is not null").select("block", "grams").mapInArrow(ask, "block long, at int, g long, salt int")
+    vectors = some.vectors.where(F.col("n").isin(orders))
+    hot_rows = some.counts.sparkSession.createDataFrame([(int(g),) for g in hot], "g long")  # HOT for each order at most
+    copies = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted = vectors.join(F.broadcast(hot_rows.withColumn("is_hot", F.lit(True))), "g", "left").withColumn("is_hot", F.coalesce("is_hot", F.lit(False)))
+    salted = salted.select("n", "g", "v", F.explode(copies).alias("salt"))
+    told = asked.join(salted, ["g", "salt"]).select("block", "at", "n", "v")
+
+    floors = {n: np.array([m.floors.get(x, -np.inf) for x in m.places]) for n, m in models.items()}
+    docs = rows.where("grams is null").drop("grams")
+    best = ArrayType(StructType([StructField("lang", StringType()), StructField("prob", DoubleType())]))
+    schema = StructType([StructField("n", IntegerType()), StructField(id_col, docs.schema["id"].dataType), StructField("pred_lang", StringType()),
+                         StructField("pred_prob", DoubleType()), StructField("top_preds", best)])
+    names = some.places
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        score, length = _scores(left, right, orders, floors)
+        ids = left["id"].combine_chunks()
+        out = []
+        for j, n in enumerate(orders):
+            # languages in order of their names, so a stable sort breaks ties by name
+            some = np.flatnonzero(np.isfinite(floors[n]))
+            order = np.argsort(-score[:, j, some], axis=1, kind="stable")[:, :k]
+            top = np.take_along_axis(score[:, j, some], order, axis=1)
+            peak = score[:, j, some].max(axis=1, keepdims=True) if len(some) else np.zeros((len(score), 1))
+            prob = np.exp(top - peak) / np.exp(score[:, j, some] - peak).sum(axis=1, keepdims=True)
+            lang = [[names[i] for i in some[o]] for o in order.tolist()]
+            preds = [[{"lang": x, "prob": p} for x, p in zip(a, b)] if m is not None and a else None for a, b, m in zip(lang, prob.tolist(), length)]
+            out.append(pa.Table.from_arrays([
+                pa.array(np.full(len(score), n, np.int32)), ids, pa.array([p[0]["lang"] if p else None for p in preds], pa.string()),
+                pa.array([p[0]["prob"] if p else None for p in preds], pa.float64()),
+                pa.array(preds, pa.list_(pa.struct([("lang", pa.string()), ("prob", pa.float64())])))], names=schema.names))
+        return pa.concat_tables(out)
+
+    return docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(meet, schema)
+
+
+def _scores(left: pa.Table, right: pa.Table, orders: list[int], floors: dict[int, np.ndarray]) -> tuple[np.ndarray, list]:
+    """Scores of a block's documents (document, order, language) and their lengths. ``right``: the block's grams that
+    the model has, by their place in the block's list."""
+    length = left["length"].to_pylist()
+    languages = len(floors[orders[0]])
+    score = np.zeros((len(length), len(orders), languages))
+    at = right["at"].to_numpy()
+    vectors = right["v"].combine_chunks()
+    vectors = vectors if isinstance(vectors, pa.ListArray) else pa.concat_arrays(vectors.chunks) if vectors.num_chunks else None
+    begins = np.asarray(vectors.offsets, np.int64) if len(at) else np.zeros(1, np.int64)
+    values = vectors.values if len(at) else None
+    language = values.field("i").to_numpy() if len(at) else np.zeros(0, np.int64)
+    delta = values.field("d").to_numpy() if len(at) else np.zeros(0)
+    order = np.searchsorted(orders, right["n"].to_numpy()) if len(at) else np.zeros(0, np.int64)
+    slot = np.full(int(at.max()) + 1 if len(at) else 0, -1)
+    slot[at] = np.arange(len(at))
+    for i, (places, counts) in enumerate(zip(left["at"].to_pylist(), left["k"].to_pylist())):
+        places, counts = np.frombuffer(places, np.int32), np.frombuffer(counts, np.int32)
+        inside = places < len(slot)
+        met = slot[places[inside]]
+        counts = counts[inside][met >= 0]
+        met = met[met >= 0]
+        sizes = begins[met + 1] - begins[met]
+        where = ragged(begins[met], sizes)
+        key = np.repeat(order[met] * languages, sizes) + language[where]
+        score[i] = np.bincount(key, np.repeat(counts, sizes) * delta[where], len(orders) * languages).reshape(len(orders), languages)
+        for j, n in enumerate(orders):
+            score[i, j] += max((length[i] or 0) - n + 1, 0) * np.where(np.isfinite(floors[n]), floors[n], 0.0)
+    return score, length

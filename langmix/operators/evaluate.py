@@ -16,29 +16,33 @@ from langmix.operators import metrics as M
 @dataclass(frozen=True)
 class EvalSpec:
     """How a set is read: its text and gold columns, the text's cleaning, the columns kept beside the prediction
-    (None: all), and the values of missing fields (E21's streamed form)."""
+    (None: all), whether the cleaned text is kept as ``text``, and the values of missing fields (E21's streamed
+    form)."""
 
     data_name: str
     text: str = "text"
     gold: str = "language"
-    clean: str = "none"  # none | delete (newlines go) | space (newlines become spaces, trimmed)
+    clean: str = "none"  # none | delete (newlines go) | space (newlines become spaces, trimmed) | join (segments, then space)
     metadata: tuple[str, ...] | None = ()
+    keep_text: bool = False
     defaults: Mapping[str, object] = field(default_factory=dict)
 
     def cleaned(self) -> Column:
         c = F.col(self.text)
-        return {"none": c, "delete": T.delete_newlines(c), "space": T.newlines_to_space(c)}[self.clean]
+        return {"none": lambda: c, "delete": lambda: T.delete_newlines(c), "space": lambda: T.newlines_to_space(c),
+                "join": lambda: T.newlines_to_space(T.join_segments(c))}[self.clean]()
 
 
 # --- fixed values: the sets, their gold columns and metadata ----------------
+_VOICE = ("age", "gender", "accent", "up_votes", "down_votes")
 EVAL_SPECS = {
-    "flores": EvalSpec("flores", "text", "iso_639_3", "delete", ("domain", "topic", "iso_15924")),
-    "smol": EvalSpec("smol", "trg", "tl", "space", ("domain",)),
+    "flores": EvalSpec("flores", "text", "iso_639_3", "delete", ("domain", "topic", "iso_15924"), True),
+    "smol": EvalSpec("smol", "trg", "tl", "join", ("domain",), True),
     "bloom_stories": EvalSpec("bloom_stories", "text", "language_code", "none",
-                              ("title", "language", "license", "copyright", "pageCount", "bookInstanceId", "bookLineage")),
+                              ("title", "language", "license", "copyright", "pageCount", "bookInstanceId", "bookLineage"), True),
     "tweetlid": EvalSpec("tweetlid", "tweet", "lang_code", "none", None),
-    "common_voice": EvalSpec("common_voice", "sentence", "language_code", "none", ("age", "gender", "accent", "up_votes", "down_votes")),
-    "common_voice_stream": EvalSpec("common_voice", "sentence", "language_code", "none", ("age", "gender", "accent", "up_votes", "down_votes"),
+    "common_voice": EvalSpec("common_voice", "sentence", "language_code", "none", _VOICE, True),
+    "common_voice_stream": EvalSpec("common_voice", "sentence", "language_code", "none", _VOICE, True,
                                     {"sentence": "", "age": "", "gender": "", "accent": "", "up_votes": 0, "down_votes": 0}),
     "code_switch": EvalSpec("code_switch", "codeswitch_sentence", "languages", "none", None),
 }
@@ -53,14 +57,19 @@ def evaluate(df: DataFrame, spec: EvalSpec, model, id_col: str, top_k: bool = Fa
         have = F.col(name) if name in df.columns else F.lit(None).cast("string" if isinstance(value, str) else "long")
         df = df.withColumn(name, F.coalesce(have, F.lit(value)))
     names = spec.metadata if spec.metadata is not None else tuple(c for c in df.columns if c not in (id_col, spec.gold))
-    rows = df.select(id_col, F.col(spec.gold).alias("gold"), *names)
+    text = [spec.cleaned().alias("text")] if spec.keep_text else []
+    rows = df.select(id_col, F.col(spec.gold).alias("gold"), *names, *text)
     pred = model.transform(df.select(id_col, spec.cleaned().alias("__text")), id_col, "__text")
     got = ["pred_lang", "pred_prob", *(["top_preds"] if top_k else [])]
     return rows.join(pred.select(id_col, *got), id_col).withColumn("data_name", F.lit(spec.data_name))
 
 
-def evaluate_all(sets: list[DataFrame], codes: DataFrame, model_name: str) -> DataFrame:
-    """The summary line of each evaluated set, all sets in one grouped job."""
-    rows = reduce(DataFrame.unionByName, [s.select("data_name", "gold", "pred_lang") for s in sets])
-    summary = M.score_predictions(rows.withColumn("model", F.lit(model_name)), codes, "gold", data_name=None, group="data_name")
+def evaluate_all(sets: list[tuple[DataFrame, EvalSpec, str]], model, codes: DataFrame, model_name: str) -> DataFrame:
+    """The summary line of each set ``(rows, spec, id column)``. The sets' texts are one frame that the detector
+    meets once; a row's gold label travels in its id, so no text is joined or shuffled."""
+    rows = reduce(DataFrame.unionByName, [
+        df.select(F.struct(F.lit(spec.data_name).alias("data_name"), F.col(id_col).cast("string").alias("id"), F.col(spec.gold).alias("gold")).alias("key"),
+                  spec.cleaned().alias("text")) for df, spec, id_col in sets])
+    pred = model.transform(rows, "key", "text").select("key.data_name", "key.gold", "pred_lang", F.lit(model_name).alias("model"))
+    summary = M.score_predictions(pred, codes, "gold", data_name=None, group="data_name")
     return summary.select("data_name", F.lit(model_name).alias("model"), "acc", "f1", "fpr", "n_rows")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from langmix.operators import metrics as M
 from langmix.operators.corpus import split_by_rank
-from langmix.operators.detect import fit_char_ngram_multi
+from langmix.operators.detect import detect_all, fit_char_ngram_multi
 from langmix.plans import fixtures as X
 from langmix.plans import sql as S
 from langmix.plans.catalog import TRAIN_FRACTION, register
@@ -29,11 +29,9 @@ def predictions(spark, sf_dir, systems=SYSTEMS) -> DataFrame:
     sp = split_corpus(spark, sf_dir)
     train = X.spread(sp.filter(F.col("split") == "train"), "doc_id")
     dev = X.spread(sp.filter(F.col("split") == "dev"), "doc_id")
-    out = None
     models = fit_char_ngram_multi(train, "sentence", "language", systems)
-    for n in systems:
-        pred = models[n].transform(dev, "doc_id", "sentence").withColumn("system", F.lit(f"char{n}"))
-        out = pred if out is None else out.unionByName(pred)
+    out = detect_all(models, dev, "doc_id", "sentence")
+    out = out.withColumn("system", F.concat(F.lit("char"), F.col("n").cast("string"))).drop("n")
     meta = dev.select("doc_id", "dataset", F.col("language").alias("gold"))
     return meta.join(out, "doc_id")
 

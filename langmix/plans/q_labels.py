@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from langmix.functions import text as T
 from langmix.functions.codes import map_literal, multi_hot
 from langmix.operators import codeswitch as CS
-from langmix.operators.detect import fit_char_ngram_multi
+from langmix.operators.detect import detect_all, fit_char_ngram_multi
 from langmix.operators.vocab import build_vocabulary, encode_padded, text_mean_vectors
 from langmix.plans import fixtures as X
 from langmix.plans import sql as S
@@ -60,15 +60,10 @@ def labelset_scored(spark, sf_dir) -> DataFrame:
     train = X.spread(sp.filter(F.col("split") == "train"), "doc_id")
     test = X.spread(cs_test(spark, sf_dir), "pair_id").checkpoint()
     names = map_literal(ISO3_TO_NAME)
-    out = None
     models = fit_char_ngram_multi(train, "sentence", "language", SYSTEMS)
-    for n in SYSTEMS:
-        pred = models[n].transform(test, "pair_id", "codeswitch_sentence")
-        mapped = F.filter(F.transform(F.slice("top_preds", 1, 2), lambda x: F.try_element_at(names, x["lang"])),
-                          lambda x: x.isNotNull())
-        pred = pred.select("pair_id", F.array_join(F.array_sort(mapped), "-").alias("predicted_label"),
-                           F.lit(f"char{n}").alias("system"))
-        out = pred if out is None else out.unionByName(pred)
+    pred = detect_all(models, test, "pair_id", "codeswitch_sentence")
+    mapped = F.filter(F.transform(F.slice("top_preds", 1, 2), lambda x: F.try_element_at(names, x["lang"])), lambda x: x.isNotNull())
+    out = pred.select("pair_id", F.array_join(F.array_sort(mapped), "-").alias("predicted_label"), F.concat(F.lit("char"), F.col("n").cast("string")).alias("system"))
     return test.select("pair_id", F.col("languages").alias("true_label")).join(out, "pair_id")
 
 
