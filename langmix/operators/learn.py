@@ -1,64 +1,196 @@
-"""Trainable classifiers as Spark ML jobs.
-
-* word n-gram classifier (M3): whitespace tokens -> 1..n word n-grams ->
-  ``HashingTF(buckets)`` -> multinomial ``LogisticRegression``. fastText's
-  ``dim`` and hierarchical softmax have no MLlib counterpart; the sweep axes are
-  n-gram order, buckets and regularisation instead.
-* multi-label (M7-M9): one binary ``LogisticRegression`` per label over hashed
-  tweet tokens (M7) or over mean word vectors (M8); decisions by threshold (F21)
-  or top-k + threshold (F22). The reference's non-linear adapter is not
-  reproduced: the Spark job is linear over the same inputs.
+"""Trainable classifiers over blocks of rows.
+
+* word n-gram classifier (M3): whitespace tokens -> 1..n word n-grams, hashed
+  -> softmax regression. fastText's ``dim`` and hierarchical softmax are left
+  out; the sweep axes are n-gram order and regularisation instead.
+* multi-label (M7): hashed tweet tokens -> all labels' sigmoids at once.
+* multi-label over frozen word vectors (M8): an adapter (linear, ReLU, layer
+  norm) on each vocabulary row, averaged over a text, then linear -> sigmoids.
+
+Parameters are rows of a table, one for each feature, and are joined to the
+rows of text in every step (:mod:`langmix.operators.blocks`); what the driver
+holds follows neither buckets nor vocabulary. One step is one pass over the
+rows. Steps start from the weights that the last ones left.
+
+A row's features are shares of its grams, so they sum to 1, and a step moves a
+feature's weights against the mean residual of the rows that hold it::
+
+    w_f <- w_f - step * (sum_i x_if (p_i - y_i) / sum_i x_if + reg * w_f)
+
+With features that sum to 1 the loss cannot rise for steps up to 2 (softmax)
+or 4 (sigmoid), whatever the data, and the result does not depend on how rows
+are dealt.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
+from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, IndexToString, NGram, StringIndexer
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from langmix.functions.text import tweet_tokens
+from langmix.operators.blocks import GRADIENT, Block, Blocks, gradient_rows, push, summed
+from langmix.session import stored
 
 DEFAULT_BUCKETS = 1 << 18
+#: A gram that every row has; no token holds a newline.
+ALWAYS = "\n"
+#: The largest safe steps.
+STEPS = {"softmax": 2.0, "sigmoid": 4.0}
+
+
+def word_ngrams(text: Column, n: int) -> Column:
+    """Whitespace tokens of the lower-cased text, all 2..n word n-grams, and the constant gram."""
+    toks = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+"), lambda x: x != "")
+    # as the element of an array the tokens are worked out once, however many gram lengths use them
+    return F.transform(F.array(toks), lambda t: F.concat(F.array(F.lit(ALWAYS)), t, *[_grams(t, k) for k in range(2, n + 1)]))[0]
+
+
+def _grams(t: Column, k: int) -> Column:
+    starts = F.when(F.size(t) >= k, F.sequence(F.lit(1), F.size(t) - k + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.array_join(F.slice(t, i, k), " "))
+
+
+def tweet_grams(text: Column) -> Column:
+    """Tweet tokens and the constant gram."""
+    return F.concat(F.array(F.lit(ALWAYS)), F.coalesce(tweet_tokens(text), F.array().cast("array<string>")))
+
+
+def classes_of(rows: DataFrame, labels: Column) -> list[str]:
+    """The distinct labels: a small dimension."""
+    got = rows.select(F.explode(labels).alias("c")).where("c is not null").distinct()
+    return sorted(r["c"] for r in got.collect())
+
+
+def _probabilities(s: np.ndarray, kind: str) -> np.ndarray:
+    """``s``: rows by configurations by classes."""
+    if kind == "sigmoid":
+        return 1 / (1 + np.exp(-s))
+    e = np.exp(s - s.max(axis=2, keepdims=True)) if s.shape[2] else s
+    return e / e.sum(axis=2, keepdims=True) if s.shape[2] else s
+
+
+@dataclass
+class LinearModel:
+    """Weights ``(f, m, w)``: of each feature its mass in the training rows, and its numbers, classes by configurations."""
+
+    kind: str  # softmax | sigmoid
+    classes: list[str]
+    regs: list[float]  # of each configuration
+    weights: DataFrame
+    steps: int = 0
+
+    @property
+    def width(self) -> int:
+        return max(1, len(self.classes) * len(self.regs))
+
+    def shape(self, s: np.ndarray) -> np.ndarray:
+        return s[:, :len(self.classes) * len(self.regs)].reshape(len(s), len(self.regs), len(self.classes))
+
+
+def start(blocks: Blocks, kind: str, regs: Sequence[float] = (0.0,)) -> LinearModel:
+    """A model without steps: every feature of the blocks, with its mass and weights of 0."""
+    model = LinearModel(kind, blocks.classes, list(regs), None)
+
+    def mass(block: Block, _: np.ndarray) -> pa.RecordBatch:
+        return gradient_rows(block.features, block.back(np.ones((len(block.ends), 1))))
+
+    nothing = blocks.table.sparkSession.createDataFrame([], "f long, w binary")
+    zero = np.zeros(model.width).tobytes()
+    rows = push(blocks.pull(nothing, 1, mass, GRADIENT), 1)
+
+    def first(batches):
+        for batch in batches:
+            m = np.frombuffer(b"".join(batch.column("g").to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch.column("f"), pa.array(m), pa.array([zero] * batch.num_rows, pa.binary())], names=["f", "m", "w"])
+
+    model.weights = stored(rows.mapInArrow(first, "f long, m double, w binary"), "linear-weights")
+    return model
+
+
+def descend(model: LinearModel, blocks: Blocks, steps: int, step: float | None = None) -> LinearModel:
+    """The model after ``steps`` more passes over the blocks, from the weights it has."""
+    size = STEPS[model.kind] if step is None else step
+    kind, width, classes = model.kind, model.width, len(model.classes)
+    reg = np.repeat(model.regs, classes) if classes else np.zeros(1)
+    weights = model.weights
+
+    def residuals(block: Block, w: np.ndarray) -> pa.RecordBatch:
+        s = block.times(w)
+        p = _probabilities(model_shape(s), kind)
+        return gradient_rows(block.features, block.back((p - block.y[:, None, :]).reshape(len(s), -1)))
+
+    model_shape = LinearModel(kind, model.classes, model.regs, None).shape  # the closure holds no frame
+
+    def update(batches):
+        for batch in batches:
+            w = np.frombuffer(b"".join(batch.column("w").to_pylist())).reshape(-1, width)
+            g = np.frombuffer(b"".join(batch.column("g").to_pylist())).reshape(-1, width)
+            w = w - size * (g / batch.column("m").to_numpy()[:, None] + reg * w)
+            yield pa.RecordBatch.from_arrays([batch.column("f"), batch.column("m"), pa.array([x.tobytes() for x in w], pa.binary())], names=["f", "m", "w"])
+
+    for _ in range(steps if classes else 0):
+        sums = push(blocks.pull(weights, width, residuals, GRADIENT), width)
+        weights = stored(weights.join(sums, "f").mapInArrow(update, "f long, m double, w binary"), "linear-weights")
+    return LinearModel(model.kind, model.classes, model.regs, weights, model.steps + steps)
+
+
+def probabilities(model: LinearModel, blocks: Blocks, id_col: str, k: int | None = None) -> DataFrame:
+    """``(id, config, preds)`` of every row: the ``k`` most probable classes (None: all), best first, ties by name.
+    All classes come from one pass."""
+    kind, classes = model.kind, model.classes
+    shape = LinearModel(kind, classes, model.regs, None).shape
+    pred = ArrayType(StructType([StructField("lang", StringType()), StructField("prob", DoubleType())]))
+    schema = StructType([StructField(id_col, blocks.id_type), StructField("config", StringType()), StructField("preds", pred)])
+    configs = [str(i) for i in range(len(model.regs))]
+
+    def score(block: Block, w: np.ndarray) -> pa.RecordBatch:
+        p = _probabilities(shape(block.times(w)), kind)
+        order = np.argsort(-p, axis=2, kind="stable")[:, :, :k]
+        best = np.take_along_axis(p, order, axis=2)
+        preds = [[{"lang": classes[i], "prob": x} for i, x in zip(o, q)] for a, b in zip(order.tolist(), best.tolist()) for o, q in zip(a, b)]
+        at = pa.array(np.repeat(np.arange(len(p)), len(configs)))
+        return pa.RecordBatch.from_arrays([block.ids.take(at), pa.array(configs * len(p), pa.string()),
+                                           pa.array(preds, pa.list_(pa.struct([("lang", pa.string()), ("prob", pa.float64())])))], names=schema.names)
+
+    return blocks.pull(model.weights, model.width, score, schema)
+
+
+# -- M3-M6 ----------------------------------------------------------------------------------------------------------
+
+
+@dataclass
+class WordNgramModel:
+    """M3 with the detector interface (M1/M4): ``transform`` gives the top-k languages of whole texts."""
 
+    linear: LinearModel
+    n: int
+    buckets: int
 
-def word_ngram_features(df: DataFrame, text_col: str, n: int) -> DataFrame:
-    """Whitespace tokens of the lower-cased text plus all 2..n word n-grams in ``__grams``."""
-    toks = df.withColumn("__t1", F.filter(F.split(F.lower(F.col(text_col)), r"(?U)\s+"), lambda x: x != ""))
-    cols = ["__t1"]
-    for k in range(2, n + 1):
-        toks = NGram(n=k, inputCol="__t1", outputCol=f"__t{k}").transform(toks)
-        cols.append(f"__t{k}")
-    return toks.withColumn("__grams", F.concat(*cols)).drop(*cols)
+    def transform(self, df: DataFrame, id_col: str, text_col: str, k: int = 3) -> DataFrame:
+        blocks = Blocks.cut(df, id_col, self.linear.classes, self.linear.width, word_ngrams(F.col(text_col), self.n), buckets=self.buckets)
+        preds = probabilities(self.linear, blocks, id_col, k)
+        first = F.try_element_at("preds", F.lit(1))
+        return preds.select(id_col, first["lang"].alias("pred_lang"), first["prob"].alias("pred_prob"), F.col("preds").alias("top_preds"))
+
+
+def word_ngram_blocks(train: DataFrame, text_col: str, label_col: str, n: int, buckets: int, configs: int = 1) -> Blocks:
+    """Training rows as blocks; rows without a label are left out."""
+    rows = train.where(F.col(label_col).isNotNull())
+    classes = classes_of(rows, F.array(label_col))
+    return Blocks.cut(rows.withColumn("__none", F.lit(0)), "__none", classes, max(1, len(classes) * configs), word_ngrams(F.col(text_col), n), F.array(label_col), buckets)
 
 
 def fit_word_ngram(train: DataFrame, text_col: str, label_col: str, n: int = 2, buckets: int = DEFAULT_BUCKETS,
-                   reg: float = 0.0, max_iter: int = 20) -> PipelineModel:
-    """M3: distributed fit (treeAggregate gradient sums over partitions)."""
-    feats = word_ngram_features(train, text_col, n)
-    pipe = Pipeline(stages=[
-        StringIndexer(inputCol=label_col, outputCol="__y", handleInvalid="skip"),
-        HashingTF(inputCol="__grams", outputCol="__x", numFeatures=buckets),
-        LogisticRegression(featuresCol="__x", labelCol="__y", family="multinomial", regParam=reg, maxIter=max_iter,
-                           predictionCol="__yhat", probabilityCol="__p", rawPredictionCol="__raw"),
-    ])
-    return pipe.fit(feats)
-
-
-def predict_word_ngram(model: PipelineModel, df: DataFrame, text_col: str, n: int) -> DataFrame:
-    """M4 (top-1): predicted label and its probability, for every row: the label indexer plays no part in
-    prediction, so rows whose gold label training never saw (or is null) are predicted too."""
-    labels = model.stages[0].labels
-    out = word_ngram_features(df, text_col, n)
-    for stage in model.stages[1:]:
-        out = stage.transform(out)
-    out = IndexToString(inputCol="__yhat", outputCol="pred_lang", labels=labels).transform(out)
-    return out.withColumn("pred_prob", F.array_max(vector_to_array("__p"))).drop("__grams", "__x", "__raw", "__p", "__yhat")
+                   reg: float = 0.0, max_iter: int = 20) -> WordNgramModel:
+    """M3: ``max_iter`` passes over the training rows."""
+    blocks = word_ngram_blocks(train, text_col, label_col, n, buckets)
+    return WordNgramModel(descend(start(blocks, "softmax", [reg]), blocks, max_iter), n, buckets)
 
 
 def precision_at_1(pred: DataFrame, gold: str) -> float:
@@ -67,75 +199,206 @@ def precision_at_1(pred: DataFrame, gold: str) -> float:
     return pred.agg(F.avg(right.cast("double")) * 100).first()[0] or 0.0
 
 
-def grid_sweep(train: DataFrame, dev: DataFrame, text_col: str, label_col: str, grid: list[dict],
-               parallelism: int = 2) -> list[dict]:
-    """M5: one distributed fit per configuration, scored on the fixed dev split.
-    Up to ``parallelism`` fits run as concurrent Spark jobs (as MLlib's tuning
-    ``parallelism`` does); results are sorted by dev accuracy, then by config."""
+class _Dev:
+    """Dev rows as blocks, cut once, under their gold labels (an unknown one is empty)."""
+
+    def __init__(self, dev: DataFrame, text_col: str, label_col: str, classes: list[str], n: int, buckets: int, configs: int):
+        rows = dev.select(F.coalesce(F.col(label_col).cast("string"), F.lit("")).alias("gold"), F.col(text_col).alias("text"))
+        self.blocks = Blocks.cut(rows, "gold", classes, max(1, len(classes) * configs), word_ngrams(F.col("text"), n), buckets=buckets)
 
-    def run(cfg: dict) -> dict:
-        model = fit_word_ngram(train, text_col, label_col, **cfg)
-        acc = precision_at_1(predict_word_ngram(model, dev, text_col, cfg.get("n", 2)), label_col)
-        return {**cfg, "dev_accuracy": round(acc, 4)}
+    def precision(self, model: LinearModel) -> dict[int, float]:
+        """E16 of every configuration from one pass."""
+        got = probabilities(model, self.blocks, "gold", 1).groupBy("config").agg(
+            F.avg(F.coalesce(F.try_element_at("preds", F.lit(1))["lang"] == F.col("gold"), F.lit(False)).cast("double")) * 100)
+        return {int(c): p for c, p in got.collect()}
 
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        results = list(pool.map(run, grid))
-    return sorted(results, key=lambda r: (-r["dev_accuracy"], sorted(r.items())))
 
+def grid_sweep(train: DataFrame, dev: DataFrame, text_col: str, label_col: str, grid: list[dict], buckets: int = DEFAULT_BUCKETS) -> list[dict]:
+    """M5: the configurations of one n-gram order and length of training are one fit with their numbers side by side,
+    and one pass scores them all. Sorted by dev accuracy, then by configuration."""
+    out = []
+    for n, steps in sorted({(c.get("n", 2), c.get("max_iter", 20)) for c in grid}):
+        own = [c for c in grid if (c.get("n", 2), c.get("max_iter", 20)) == (n, steps)]
+        blocks = word_ngram_blocks(train, text_col, label_col, n, buckets, len(own))
+        model = descend(start(blocks, "softmax", [c.get("reg", 0.0) for c in own]), blocks, steps)
+        acc = _Dev(dev, text_col, label_col, model.classes, n, buckets, len(own)).precision(model)
+        out += [{**c, "dev_accuracy": round(acc.get(i, 0.0), 4)} for i, c in enumerate(own)]
+    return sorted(out, key=lambda r: (-r["dev_accuracy"], sorted((k, str(v)) for k, v in r.items())))
 
-def fit_with_early_stop(train: DataFrame, dev: DataFrame, text_col: str, label_col: str, n: int = 2,
-                        block: int = 5, total: int = 30) -> list[dict]:
-    """M6: train in blocks of iterations (cumulative, D8), stop when dev accuracy does not improve."""
+
+def fit_with_early_stop(train: DataFrame, dev: DataFrame, text_col: str, label_col: str, n: int = 2, block: int = 5,
+                        total: int = 30, buckets: int = DEFAULT_BUCKETS) -> tuple[WordNgramModel, list[dict]]:
+    """M6: train in blocks of passes, each from the weights the last left, until dev accuracy does not improve. The
+    best model, and a line for each block (D8)."""
+    rows = word_ngram_blocks(train, text_col, label_col, n, buckets)
+    model = kept = start(rows, "softmax")
+    held = _Dev(dev, text_col, label_col, model.classes, n, buckets, 1)
     best, log = 0.0, []
-    for iters in range(block, total + 1, block):
-        model = fit_word_ngram(train, text_col, label_col, n=n, max_iter=iters)
-        acc = precision_at_1(predict_word_ngram(model, dev, text_col, n), label_col)
+    while model.steps < total:
+        model = descend(model, rows, min(block, total - model.steps))
+        acc = held.precision(model).get(0, 0.0)
         improved = acc > best
-        log.append({"max_iter": iters, "dev_accuracy": round(acc, 4), "improved": improved})
+        log.append({"max_iter": model.steps, "dev_accuracy": round(acc, 4), "improved": improved})
         if not improved:
             break
-        best = acc
-    return log
-
-
-def hashed_tokens(df: DataFrame, text_col: str, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """M7 features: hashed bag of tweet tokens."""
-    toks = df.withColumn("__tok", tweet_tokens(text_col))
-    return HashingTF(inputCol="__tok", outputCol="features", numFeatures=buckets).transform(toks).drop("__tok")
-
-
-def vector_features(df: DataFrame, array_col: str) -> DataFrame:
-    """M8 features: a dense vector from an array column (e.g. a mean embedding)."""
-    return df.withColumn("features", array_to_vector(F.col(array_col)))
-
-
-def fit_multilabel(train: DataFrame, labels_col: str, classes: list[str], max_iter: int = 20) -> dict:
-    """M7/M8: one binary logistic regression per class (each a distributed fit)."""
-    models = {}
-    for c in classes:
-        y = F.array_contains(F.col(labels_col), c).cast("double")
-        lr = LogisticRegression(featuresCol="features", labelCol="__y", maxIter=max_iter,
-                                predictionCol="__yhat", probabilityCol="__p", rawPredictionCol="__raw")
-        models[c] = lr.fit(train.withColumn("__y", y))
-    return models
-
-
-def predict_multilabel(models: dict, df: DataFrame, id_col: str, threshold: float = 0.8, top_k: int | None = None) -> DataFrame:
-    """M9: per-class probabilities -> labels with p >= threshold (F21), or among
-    the top_k most probable (F22). Per row the class list is bounded by the
-    number of classes."""
-    if not models:
-        return df.select(id_col, F.array().cast("array<string>").alias("predicted"))
-    parts = []
-    for c, m in models.items():
-        p = m.transform(df).select(id_col, F.lit(c).alias("cls"), vector_to_array("__p")[1].alias("prob"))
-        parts.append(p)
-    probs = reduce(DataFrame.unionByName, parts)
-    ranked = probs.groupBy(id_col).agg(
-        F.sort_array(F.collect_list(F.struct((-F.col("prob")).alias("neg"), F.col("cls").alias("lang"))), True).alias("__r")
-    )
-    arr = F.transform("__r", lambda x: F.struct(x["lang"].alias("lang"), (-x["neg"]).alias("prob")))
-    if top_k:
-        arr = F.slice(arr, 1, top_k)
-    chosen = F.transform(F.filter(arr, lambda x: x["prob"] >= threshold), lambda x: x["lang"])
-    return ranked.select(id_col, F.array_sort(chosen).alias("predicted"))
+        best, kept = acc, model
+    return WordNgramModel(kept, n, buckets), log
+
+
+# -- M7, M9 ---------------------------------------------------------------------------------------------------------
+
+
+def fit_multilabel(train: DataFrame, text_col: str, labels_col: str, classes: list[str], max_iter: int = 20, buckets: int = DEFAULT_BUCKETS) -> LinearModel:
+    """M7: all labels' sigmoids in one fit over the hashed tweet tokens."""
+    blocks = Blocks.cut(train.withColumn("__none", F.lit(0)), "__none", classes, max(1, len(classes)), tweet_grams(F.col(text_col)), F.col(labels_col), buckets)
+    return descend(start(blocks, "sigmoid"), blocks, max_iter)
+
+
+def chosen_labels(preds: str, threshold: float, top_k: int | None) -> Column:
+    """M9: labels with p >= threshold (F21), among the ``top_k`` most probable if given (F22), sorted by name."""
+    some = F.slice(preds, 1, top_k) if top_k else F.col(preds)
+    return F.array_sort(F.transform(F.filter(some, lambda x: x["prob"] >= threshold), lambda x: x["lang"]))
+
+
+def predict_multilabel(model: LinearModel, df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, top_k: int | None = None,
+                       buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """M9 for M7: every row's labels, all classes in one pass."""
+    blocks = Blocks.cut(df, id_col, model.classes, model.width, tweet_grams(F.col(text_col)), buckets=buckets)
+    return probabilities(model, blocks, id_col).select(id_col, chosen_labels("preds", threshold, top_k).alias("predicted"))
+
+
+# -- M8 -------------------------------------------------------------------------------------------------------------
+
+
+@dataclass
+class Adapter:
+    """linear -> ReLU -> layer norm on a word vector, and the linear layer over a text's average: a few matrices of the
+    vectors' size, whatever the vocabulary."""
+
+    classes: list[str]
+    a: np.ndarray  # (d, d)
+    b: np.ndarray
+    gain: np.ndarray
+    shift: np.ndarray
+    fc: np.ndarray  # (d, classes)
+    bias: np.ndarray
+
+    @classmethod
+    def new(cls, classes: list[str], size: int, seed: int = 7) -> Adapter:
+        rng = np.random.default_rng(seed)
+        bound = 1 / max(size, 1) ** 0.5
+        draw = lambda *s: rng.uniform(-bound, bound, s)
+        return cls(classes, draw(size, size), draw(size), np.ones(size), np.zeros(size), draw(size, len(classes)), draw(len(classes)))
+
+    def parts(self) -> list[np.ndarray]:
+        return [self.a, self.b, self.gain, self.shift, self.fc, self.bias]
+
+    def forward(self, e: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """Adapted vectors, and what the way back needs."""
+        z = e @ self.a + self.b
+        r = np.maximum(z, 0)
+        centred = r - r.mean(axis=1, keepdims=True)
+        scale = 1 / np.sqrt((centred ** 2).mean(axis=1, keepdims=True) + 1e-5)
+        unit = centred * scale
+        return unit * self.gain + self.shift, (z, unit, scale)
+
+    def backward(self, e: np.ndarray, kept: tuple, dh: np.ndarray) -> np.ndarray:
+        """Gradients of ``a``, ``b``, ``gain`` and ``shift`` in one array, summed over vectors."""
+        z, unit, scale = kept
+        du = dh * self.gain
+        dr = scale * (du - du.mean(axis=1, keepdims=True) - unit * (du * unit).mean(axis=1, keepdims=True))
+        dz = dr * (z > 0)
+        return np.concatenate([(e.T @ dz).ravel(), dz.sum(axis=0), (dh * unit).sum(axis=0), dh.sum(axis=0)])
+
+
+def known_tokens(df: DataFrame, id_col: str, text_col: str, vocab: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``(id, known, features)``: how many of a text's tokens have a vector, and each one's share of them. A token is
+    counted once for a text before it meets the vocabulary; what is gathered is one text's distinct tokens."""
+    counts = df.select(id_col, F.explode(tweet_tokens(text_col)).alias("token")).groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("k"))
+    have = vocab.join(vectors.select("id"), "id").select("token", F.col("id").alias("f"))
+    own = counts.join(have, "token").groupBy(id_col).agg(F.sum("k").alias("known"), F.collect_list(F.struct("f", "k")).alias("fk"))
+    share = F.transform("fk", lambda x: F.struct(x["f"].cast("long").alias("f"), (x["k"] / F.col("known")).alias("x")))
+    return df.select(id_col).join(own, id_col, "left").select(id_col, F.coalesce("known", F.lit(0)).alias("known"),
+                                                              F.when(F.col("known") > 0, share).alias("features"))
+
+
+def _vectors_in(batch: pa.RecordBatch) -> np.ndarray:
+    return np.array(batch.column("embedding").to_pylist(), float)
+
+
+def _adapted(model: Adapter, vectors: DataFrame) -> DataFrame:
+    """``(f, w)``: the adapter applied once to each vocabulary row."""
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                h, _ = model.forward(_vectors_in(batch))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in h], pa.binary())], names=["f", "w"])
+
+    return vectors.select(F.col("id").cast("long").alias("id"), "embedding").mapInArrow(run, "f long, w binary")
+
+
+def fit_adapter(rows: DataFrame, labels_col: str, classes: list[str], vectors: DataFrame, max_iter: int = 15, rate: float = 0.02) -> tuple[Adapter, list[float]]:
+    """M8: ``rows(features, labels)`` of :func:`known_tokens` and ``vectors(id, embedding)``. In each pass the adapted
+    rows of the vocabulary are pulled by the blocks; what a block's texts say about them is summed by vocabulary row
+    and goes back through the adapter there; the matrices' gradients are summed over partitions in a tree, and the
+    driver takes one Adam step on matrices of the vectors' size. The model, and the mean loss before each step."""
+    size = vectors.select(F.size("embedding").alias("d")).agg(F.max("d")).first()[0] or 0
+    model = Adapter.new(classes, size)
+    blocks = Blocks.cut(rows.withColumn("__none", F.lit(0)), "__none", classes, max(1, size), labels=F.col(labels_col), features=F.col("features"))
+    count = max(1, rows.count())
+    first, second, losses = None, None, []
+    for t in range(1, max_iter + 1):
+        now = Adapter(classes, *[x.copy() for x in model.parts()])
+
+        def texts(block: Block, h: np.ndarray, now=now) -> pa.RecordBatch:
+            mean = block.times(h)
+            s = mean @ now.fc + now.bias
+            r = 1 / (1 + np.exp(-s)) - block.y
+            loss = (np.maximum(s, 0) - s * block.y + np.log1p(np.exp(-np.abs(s)))).sum()
+            own = np.concatenate([(mean.T @ r).ravel(), r.sum(axis=0), [loss]])
+            rows = gradient_rows(block.features, block.back(r @ now.fc.T))
+            whole = pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([b""], pa.binary()), pa.array([own.tobytes()], pa.binary())], names=GRADIENT.names)
+            return pa.concat_batches([rows, whole])
+
+        got = stored(blocks.pull(_adapted(now, vectors), size, texts, GRADIENT), "adapter-gradients")
+
+        def back(batches, now=now):
+            for batch in batches:
+                if batch.num_rows:
+                    e = _vectors_in(batch)
+                    g = np.frombuffer(b"".join(batch.column("g").to_pylist())).reshape(len(e), -1)
+                    yield pa.RecordBatch.from_arrays([pa.array([now.backward(e, now.forward(e)[1], g).tobytes()], pa.binary())], names=["g"])
+
+        by_row = push(got.where("shard >= 0"), size).join(vectors.select(F.col("id").cast("long").alias("f"), "embedding"), "f")
+        inner, outer = summed(by_row.select("embedding", "g").mapInArrow(back, "g binary")), summed(got.where("shard < 0"))
+        if not len(outer):
+            break
+        if not len(inner):
+            inner = np.zeros(size * size + 3 * size)
+        losses.append(float(outer[-1]) / count)
+        g = np.concatenate([inner, outer[:-1]]) / count
+        first = 0.1 * g if first is None else 0.9 * first + 0.1 * g
+        second = 0.001 * g * g if second is None else 0.999 * second + 0.001 * g * g
+        move = rate * (first / (1 - 0.9 ** t)) / (np.sqrt(second / (1 - 0.999 ** t)) + 1e-8)
+        at = 0
+        for x in model.parts():
+            x -= move[at:at + x.size].reshape(x.shape)
+            at += x.size
+    return model, losses
+
+
+def predict_adapter(model: Adapter, rows: DataFrame, id_col: str, vectors: DataFrame, threshold: float = 0.8, top_k: int | None = 2) -> DataFrame:
+    """M9 for M8: ``(id, predicted, preds)`` of ``rows(id, features)``."""
+    blocks = Blocks.cut(rows, id_col, model.classes, max(1, len(model.b)), features=F.col("features"))
+    pred = ArrayType(StructType([StructField("lang", StringType()), StructField("prob", DoubleType())]))
+    schema = StructType([StructField(id_col, blocks.id_type), StructField("preds", pred)])
+    classes = model.classes
+
+    def score(block: Block, h: np.ndarray) -> pa.RecordBatch:
+        p = 1 / (1 + np.exp(-(block.times(h) @ model.fc + model.bias)))
+        order = np.argsort(-p, axis=1, kind="stable")
+        preds = [[{"lang": classes[i], "prob": float(q[i])} for i in o] for o, q in zip(order.tolist(), p)]
+        return pa.RecordBatch.from_arrays([block.ids, pa.array(preds, pa.list_(pa.struct([("lang", pa.string()), ("prob", pa.float64())])))], names=schema.names)
+
+    out = blocks.pull(_adapted(model, vectors), max(1, len(model.b)), score, schema)
+    return out.select(id_col, chosen_labels("preds", threshold, top_k).alias("predicted"), "preds")

@@ -17,7 +17,8 @@ from langmix.sources import sinks as K
 def test_unseen_and_missing_labels_are_predicted_and_count_as_wrong(spark):
     train = spark.createDataFrame([("red fish", "a"), ("red dog", "a"), ("blue sky", "b"), ("blue sea", "b")], "t string, y string")
     dev = spark.createDataFrame([("red", "a"), ("blue", "zz"), ("red", None), ("blue", "b")], "t string, y string")
-    pred = L.predict_word_ngram(L.fit_word_ngram(train, "t", "y", n=1, buckets=64, max_iter=5), dev, "t", 1)
+    dev = dev.withColumn("i", F.monotonically_increasing_id())
+    pred = dev.join(L.fit_word_ngram(train, "t", "y", n=1, buckets=64, max_iter=5).transform(dev, "i", "t"), "i")
     assert pred.count() == 4 and pred.where("pred_lang is null").count() == 0
     assert L.precision_at_1(pred, "y") == 50.0
 
