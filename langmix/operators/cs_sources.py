@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +18,7 @@ from langmix.operators.canon import CS_SPECS, canonicalise_cs
 from langmix.operators.codeswitch import at_most_two_languages
 from langmix.operators.corpus import split_by_rank
 from langmix.sources import readers as R
+from langmix.sources.lines import number_rows, with_place
 
 Reader = Callable[[SparkSession, str], DataFrame]
 
@@ -33,34 +33,38 @@ class CodeSwitchSource:
     fraction: float = 0.7
 
 
+def _placed(read: Reader) -> Reader:
+    return lambda spark, path: with_place(read(spark, path))
+
+
 def _csv(spark, path):
-    return R.read_csv(spark, path)
+    return R.read_csv(spark, path, place=True)
 
 
 def _tsv(*names: str, header: bool = False) -> Reader:
-    return lambda spark, path: R.read_tsv(spark, path, list(names), header)
+    return _placed(lambda spark, path: R.read_tsv(spark, path, list(names), header))
 
 
 def _jsonl(schema: str) -> Reader:
-    return lambda spark, path: spark.read.json(path, schema=schema)
+    return _placed(lambda spark, path: spark.read.json(path, schema=schema))
 
 
-def _lines(spark, path):
-    return spark.read.text(path).withColumnRenamed("value", "codeswitch_sentence")
+def _lines(drop_blank: bool) -> Reader:
+    return _placed(lambda spark, path: R.read_lines(spark, path, "", "", drop_blank).select("codeswitch_sentence"))
 
 
 def _meta(spark, path):
-    return R.read_meta_blocks(spark, path, "", "").select("codeswitch_sentence")
+    return with_place(R.read_meta_blocks(spark, path, "", "")).select("codeswitch_sentence", "place")
 
 
 def _tagged(spark, path):
-    return R.read_tagged_blocks(spark, path, ["AR", "EN"])[0].select("codeswitch_sentence")
+    return R.read_tagged_blocks(spark, path, ["AR", "EN"])[0].select("codeswitch_sentence", F.col("block").alias("place"))
 
 
 _REVIEWS = _tsv("text", "category", header=True)
 # --- fixed values: how each source is laid out ------------------------------
 CS_SOURCES = {
-    "basco": CodeSwitchSource("basco", R.read_nested_json),
+    "basco": CodeSwitchSource("basco", _placed(R.read_nested_json)),
     "malayalam": CodeSwitchSource("malayalam", _REVIEWS, ("train", "dev", "test"), {"test": _csv}),
     "tamil": CodeSwitchSource("tamil", _REVIEWS, ("train", "dev", "test"), {"test": _csv}),
     "crocosum": CodeSwitchSource("crocosum", _jsonl("post_text string"), ("train", "dev", "test")),
@@ -68,11 +72,11 @@ CS_SOURCES = {
     "hinge": CodeSwitchSource("hinge", _jsonl("`references` array<string>")),
     "semeval_hinglish": CodeSwitchSource("semeval_hinglish", _meta, ("train", "dev", "test")),
     "semeval_spanglish": CodeSwitchSource("semeval_spanglish", _meta, ("train", "dev", "test")),
-    "turkish": CodeSwitchSource("turkish", _lines),
-    "tweetlid_pairs": CodeSwitchSource("tweetlid_pairs", R.read_tweet_pairs, ("train", "test")),
+    "turkish": CodeSwitchSource("turkish", _lines(False)),
+    "tweetlid_pairs": CodeSwitchSource("tweetlid_pairs", _placed(R.read_tweet_pairs), ("train", "test")),
     "tongueswitcher": CodeSwitchSource("tongueswitcher", _jsonl("text string"), ("train", "test"), head={"train": 30_000, "test": 10_000}),
     "indonesian": CodeSwitchSource("indonesian", _csv),
-    "msa_egyptian": CodeSwitchSource("msa_egyptian", _lines),
+    "msa_egyptian": CodeSwitchSource("msa_egyptian", _lines(True)),
     "egyptian_english": CodeSwitchSource("egyptian_english", _tsv("segment_id", "codeswitch_sentence"), ("train", "dev", "test")),
     "saudi": CodeSwitchSource("saudi", _csv),
     "arabizi": CodeSwitchSource("arabizi", _tagged),
@@ -93,21 +97,26 @@ def _rows(df: DataFrame, source: CodeSwitchSource, head: int | None) -> DataFram
 
 
 def load_source(spark: SparkSession, name: str, paths: Mapping[str, str] | str) -> DataFrame:
-    """``paths``: one path, or one for each file group. Rows are numbered as they are read (files in order), which
-    gives "first" its meaning and every row an identity for the cut."""
+    """``paths``: one path, or one for each file group. Rows are numbered as they stand in the files (files in order of
+    their names, groups in theirs), which gives "first" its meaning and every row an identity for the cut: both are
+    the same however Spark splits the files."""
     source = CS_SOURCES[name]
+    exploded = CS_SPECS[source.spec].explode
 
     def numbered(path: str, group: str) -> DataFrame:
-        return source.readers.get(group, source.read)(spark, path).withColumn("ordinal", F.monotonically_increasing_id())
+        rows = source.readers.get(group, source.read)(spark, path)
+        if exploded:  # a number for each element of a cell
+            rows = rows.select("place", F.posexplode(CS_SPECS[source.spec].sentence).alias("__i", "__x"))
+            rows = rows.withColumn("place", F.struct("place.file", "place.start", F.struct("place.seq", "__i").alias("seq")))
+            rows = rows.withColumn(CS_SPECS[source.spec].sentence, F.array("__x")).drop("__i", "__x")
+        return number_rows(rows, "ordinal")
 
     if not source.splits:
         rows = _rows(numbered(paths, ""), source, None)
-        if CS_SPECS[source.spec].explode:  # one number for each element of a cell
-            rows = rows.withColumn("ordinal", F.monotonically_increasing_id())
         return split_by_rank(rows, source.fraction, id_col="ordinal", tail="test").drop("ordinal")
     out = []
     for split, groups in (("train", ("train",)), ("test", tuple(g for g in source.splits if g != "train"))):
         frames = [numbered(paths[g], g).withColumn("ordinal", F.col("ordinal") + F.lit(k << 60)) for k, g in enumerate(groups)]
-        rows = _rows(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames), source, source.head.get(split))
+        rows = _rows(R.read_splits(frames), source, source.head.get(split))
         out.append(rows.withColumn("split", F.lit(split)).drop("ordinal"))
     return out[0].unionByName(out[1])

@@ -6,21 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from langmix.operators.ranking import global_rank
+from langmix.session import stored
+
 
 def doc_pairs(corpus: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """Pair document ``2k`` with document ``2k + 1``.
+    """Pair the documents with their neighbours in the order of their ids: the first with the second, the third with
+    the fourth, and so on, so at most the last one has no partner, whatever gaps the ids have.
 
-    The pair's key comes from the row itself, so the pairs do not depend on the
-    size of the corpus and meet in one hash join; no key has more than two rows.
-    Pairs of one language are kept: jobs that need two languages say so. Output:
-    ``pair_id`` (= first doc), both docs' id, language, data_lang, dataset and
-    sentence as ``*_a`` / ``*_b``. A document without its partner has no pair.
+    Ids alone are ranked (:func:`global_rank`) and paired; each side then meets its text by the id. Pairs of one
+    language are kept: jobs that need two languages say so. Output: ``pair_id`` (= first doc), both docs' id,
+    language, data_lang, dataset and sentence as ``*_a`` / ``*_b``. Ids are unique; a null id has no pair.
     """
     cols = ["doc_id", "sentence", "data_lang", "language", "dataset", *(extra or [])]
-    side = F.pmod(F.col("doc_id"), F.lit(2))
-    first = corpus.where(side == 0).select(*[F.col(c).alias(f"{c}_a") for c in cols])
-    second = corpus.where(side == 1).select((F.col("doc_id") - 1).alias("pair_id"), *[F.col(c).alias(f"{c}_b") for c in cols])
-    return first.join(second, first["doc_id_a"] == second["pair_id"])
+    ranked = global_rank(corpus.select("doc_id").where("doc_id is not null"), [F.col("doc_id")])
+    place = ranked.select("doc_id", F.expr("(rank - 1) div 2").alias("pair"), ((F.col("rank") - 1) % 2).alias("side"))
+    both = place.groupBy("pair").agg(F.min_by("doc_id", "side").alias("pair_id"), F.max_by("doc_id", "side").alias("other"), F.count(F.lit(1)).alias("n"))
+    both = stored(both.where("n = 2").select("pair_id", "other"), "pair-ids")
+    first = corpus.select(*[F.col(c).alias(f"{c}_a") for c in cols]).join(both.select("pair_id"), F.col("doc_id_a") == F.col("pair_id"))
+    second = corpus.select(*[F.col(c).alias(f"{c}_b") for c in cols]).join(both.select(F.col("pair_id").alias("__pair"), "other"), F.col("doc_id_b") == F.col("other"))
+    return first.join(second.drop("other"), F.col("pair_id") == F.col("__pair")).drop("__pair")
 
 
 def two_languages(pairs: DataFrame) -> DataFrame:

@@ -36,10 +36,9 @@ def md5_order(id_col, seed: int | str = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), c.cast("string")))
 
 
-def _reach(rows: DataFrame, width: int) -> DataFrame:
-    """Per part, the last bucket (prefix of ``width``) that the limit reaches into: its ``n`` rows, of which the first
-    ``limit`` are within the limit. Parts with a limit of 0 have none."""
-    hist = rows.groupBy("part", "limit", F.substring("o", 1, width).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+def _reach(hist: DataFrame) -> DataFrame:
+    """Per part of ``hist(part, limit, bucket, n)``, the last bucket that the limit reaches into: its ``n`` rows, of
+    which the first ``limit`` are within the limit. Parts with a limit of 0 have none."""
     run = Window.partitionBy("part").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum = hist.withColumn("cum", F.sum("n").over(run)).withColumn("left", F.col("limit") - (F.col("cum") - F.col("n")))
     last = Window.partitionBy("part").orderBy(F.desc("bucket"))
@@ -65,12 +64,19 @@ def head_flag(
     """
     part = F.struct(*[F.col(c) for c in part_cols]) if part_cols else F.lit(0)
     rows = df.select(part.alias("part"), F.col(order_col).alias("o"), F.col(tie_col).alias("t"))
-    totals = rows.groupBy("part").agg(F.count(F.lit(1)).alias("total"))
-    limits = stored(totals.select("part", "total", limit_fn(F.col("total")).cast("long").alias("limit")), "rank-limits")
-    first = stored(_reach(rows.join(limits.select("part", "limit"), "part"), prefix_len), "rank-buckets")
-    open_rows = rows.join(first.where("limit < n").select("part", "bucket", "limit"), "part").where(F.substring("o", 1, prefix_len) == F.col("bucket"))
-    second = stored(_reach(open_rows.drop("bucket"), 2 * prefix_len), "rank-buckets")
-    last = rows.join(second.where("limit < n").select("part", "bucket", "limit"), "part").where(F.substring("o", 1, 2 * prefix_len) == F.col("bucket"))
+    # two scans find the cutoffs: a histogram of all rows, and the rows of each part's boundary bucket
+    counts = stored(rows.groupBy("part", F.substring("o", 1, prefix_len).alias("bucket")).agg(F.count(F.lit(1)).alias("n")), "rank-buckets")
+    totals = counts.groupBy("part").agg(F.sum("n").alias("total"))
+    limits = totals.select(F.col("part").alias("__p"), limit_fn(F.col("total")).cast("long").alias("limit"))
+    hist = counts.join(limits, F.col("part").eqNullSafe(F.col("__p"))).select("part", "limit", "bucket", "n")
+    first = stored(_reach(hist), "rank-limits")
+    open_first = first.where("limit < n").select(F.col("part").alias("__p"), "bucket", "limit")
+    near = rows.withColumn("bucket", F.substring("o", 1, prefix_len)).join(open_first, ["bucket"]).where(F.col("part").eqNullSafe(F.col("__p")))
+    near = stored(near.select("part", "o", "t", "limit"), "rank-open")
+    finer = near.groupBy("part", "limit", F.substring("o", 1, 2 * prefix_len).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    second = stored(_reach(finer), "rank-limits")
+    open_second = second.where("limit < n").select(F.col("part").alias("__p"), "bucket", "limit")
+    last = near.drop("limit").withColumn("bucket", F.substring("o", 1, 2 * prefix_len)).join(open_second, ["bucket"]).where(F.col("part").eqNullSafe(F.col("__p"))).drop("__p")
     ranked = last.withColumn("rn", F.row_number().over(Window.partitionBy("part").orderBy("o", "t")))
     cuts = ranked.where("rn = limit").select("part", F.col("o").alias("cut"), F.col("t").alias("cut_tie"))
     whole = F.concat("bucket", F.lit(_TOP)).alias("cut")

@@ -150,7 +150,8 @@ def stream_eval_voice(spark, sf_dir):
     model, spec = _model(spark, sf_dir), EVAL_SPECS["common_voice_stream"]
     stream = ST.parquet_stream(spark, sf_dir, "documents").select(
         "doc_id", F.col("text").alias("sentence"), F.col("lang").alias("language_code"), F.col("source").alias("accent"))
-    return ST.stream_map(spark, stream, lambda batch: _rounded(evaluate(batch, spec, model, "doc_id")))
+    folder = ST.job_folder(spark, "stream-voice", [f"{sf_dir.rstrip('/')}/documents.parquet"], n=MAIN_N)
+    return ST.stream_map(spark, stream, lambda batch: _rounded(evaluate(batch, spec, model, "doc_id")), folder)
 
 
 _F3 = """CASE WHEN length({c}) = 2 THEN COALESCE((SELECT iso_3 FROM codes WHERE iso_1 = {c}), {c}) ELSE {c} END"""

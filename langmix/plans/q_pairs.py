@@ -33,7 +33,8 @@ PAIRS_SQL = """pairs AS (
   SELECT a.doc_id AS pair_id, a.doc_id AS doc_id_a, b.doc_id AS doc_id_b,
          a.sentence AS sentence_a, b.sentence AS sentence_b, a.data_lang AS data_lang_a, b.data_lang AS data_lang_b,
          a.language AS language_a, b.language AS language_b, a.dataset AS dataset_a, b.dataset AS dataset_b
-  FROM corpus a JOIN corpus b ON a.doc_id % 2 = 0 AND b.doc_id = a.doc_id + 1),
+  FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS k FROM corpus) a
+  JOIN (SELECT *, row_number() OVER (ORDER BY doc_id) AS k FROM corpus) b ON a.k % 2 = 1 AND b.k = a.k + 1),
 two AS (SELECT * FROM pairs WHERE language_a <> language_b)"""
 
 

@@ -31,16 +31,21 @@ def _doc_stream(spark, sf_dir):
     return raw.withColumn("text", F.coalesce("text", F.lit("")))
 
 
+def _folder(spark, sf_dir, job: str, *tables: str, **parameters) -> str:
+    """The job's folder for these tables (documents, if none is named): a killed run's batches are not done again."""
+    return ST.job_folder(spark, job, [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in tables or ("documents",)], **parameters)
+
+
 @register("stream_profile", ORACLE["corpus_language_summary"])
 def stream_profile(spark, sf_dir):
     stream = canonicalise_documents(_doc_stream(spark, sf_dir), code_dimension(spark))
-    return ST.stream_profile(spark, stream)["language"]
+    return ST.stream_profile(spark, stream, _folder(spark, sf_dir, "stream-profile"))["language"]
 
 
 @register("stream_ingest", ORACLE["corpus_canonical"])
 def stream_ingest(spark, sf_dir):
     stream = canonicalise_documents(_doc_stream(spark, sf_dir), code_dimension(spark))
-    return ST.stream_ingest(spark, stream).select("doc_id", "sentence", "data_lang", "language", "dataset")
+    return ST.stream_ingest(spark, stream, _folder(spark, sf_dir, "stream-ingest")).select("doc_id", "sentence", "data_lang", "language", "dataset")
 
 
 @register(
@@ -60,7 +65,7 @@ def stream_eval(spark, sf_dir):
             "doc_id", "gold", "pred_lang", F.round("pred_prob", 6).alias("pred_prob")
         )
 
-    return ST.stream_map(spark, stream, score)
+    return ST.stream_map(spark, stream, score, _folder(spark, sf_dir, "stream-eval", n=MAIN_N))
 
 
 @register(
@@ -75,7 +80,7 @@ def stream_ingest_events(spark, sf_dir):
     clean = raw.filter(F.col("props").isNotNull() & (F.trim("props") != "")).select(
         "event_id", "user_id", "event_type", "value", F.trim("props").alias("props")
     )
-    out = scratch_path(spark, "stream-events")
+    out = _folder(spark, sf_dir, "stream-events", "events")
 
     def sink(batch, batch_id):
         ST._overwrite_batch(batch, f"{out}/data", batch_id, ("event_type",))

@@ -6,19 +6,32 @@ All readers are lazy DataFrame scans; block formats use a record delimiter
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from langmix.functions.text import is_label_line, parse_label_line, strip_ws
-
-
-def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Headered CSV, quoted multi-line fields; empty string is the only null
-    (so the ISO code ``nan`` stays a code)."""
-    r = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("nullValue", "")
-    return r.csv(path, schema=schema) if schema else r.option("inferSchema", False).csv(path)
+from langmix.sources.lines import blank_blocks, quoted_records
+
+
+def read_csv(spark: SparkSession, path: str, schema: str | None = None, place: bool = False) -> DataFrame:
+    """Headered CSV, quoted multi-line fields; empty string is the only null (so the ISO code ``nan`` stays a
+    code). One file is read by many tasks: records are cut by quote parity (:func:`quoted_records`), and each file's
+    first record is its header. Names come from the first file; ``schema`` overrides names and types. A quote mark
+    outside a quoted field is taken for one that opens it, as in RFC 4180. ``place``: keep the rows' places."""
+    records = quoted_records(spark, path).select("place", F.regexp_replace(F.array_join("lines", "\n"), "\r$", "").alias("text"))
+    records = records.where(F.trim("text") != "")
+    first = records.groupBy("place.file").agg(F.min(F.struct("place", "text")).alias("first"))  # one row for each file
+    head = first.agg(F.min("first.place.file").alias("file"), F.min_by("first.text", "file").alias("text")).first()
+    names = next(csv.reader([(head["text"] or "").lstrip("\ufeff")]), []) if head["file"] else []
+    kind = schema or ", ".join(f"`{n}` string" for n in names)
+    if not kind:
+        return spark.createDataFrame([], "place struct<file: string, start: long, seq: long>" if place else "")
+    body = records.join(F.broadcast(first.select("first.place")), "place", "left_anti")
+    row = F.from_csv("text", kind, {"quote": '"', "escape": '"', "nullValue": "", "maxCharsPerColumn": "-1"})
+    return body.select("place", row.alias("__row")).select(*(["place"] if place else []), "__row.*")
 
 
 def read_tsv(spark: SparkSession, path: str, names: list[str], header: bool = False) -> DataFrame:
@@ -77,23 +90,19 @@ def read_meta_blocks(spark: SparkSession, path: str, languages: str, source: str
     )
 
 
-def read_blank_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks of stripped lines separated by lines that are empty once stripped, in file order (``block``).
-
-    Records are cut at empty lines first, so a file is read in parallel; lines of white space alone (a lone carriage
-    return too) part a record further. A file whose separators all hold white space is one record."""
-    recs = spark.read.option("lineSep", "\n\n").text(path).withColumn("rec", F.monotonically_increasing_id())
-    parts = recs.select("rec", F.posexplode(F.split("value", r"(?U)\n[^\S\n]*(?=\n)|^[^\S\n]*(?=\n)")).alias("part", "value"))
-    lines = F.transform(F.split("value", "\n"), lambda x: strip_ws(x))
-    blocks = parts.select("rec", "part", F.filter(lines, lambda x: x != "").alias("lines")).filter(F.size("lines") > 0)
-    return blocks.select(F.struct("rec", "part").alias("block"), "lines")
+def read_blank_blocks(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """Blocks of stripped lines separated by lines that are empty once stripped (a lone carriage return too), with
+    their place in the files (``block``); the first ``limit`` blocks if given. A file is read by many tasks whatever
+    its separators (:func:`langmix.sources.lines.blank_blocks`)."""
+    blocks = blank_blocks(spark, path).withColumnRenamed("place", "block")
+    return blocks if limit is None else blocks.orderBy("block").limit(limit)
 
 
-def read_tagged_blocks(spark: SparkSession, path: str, required_tags: list[str]) -> tuple[DataFrame, DataFrame]:
+def read_tagged_blocks(spark: SparkSession, path: str, required_tags: list[str], limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Blocks of ``word\\t...\\ttag`` lines; a block is kept iff every
     required tag occurs; text = the words joined. Returns (blocks, malformed
     line count) -- malformed lines (< 2 fields) are skipped, as with a warning."""
-    blocks = read_blank_blocks(spark, path)
+    blocks = read_blank_blocks(spark, path, limit)
     fields = F.transform("lines", lambda ln: F.split(ln, "\t"))
     parsed = blocks.select("block", fields.alias("f"))
     good = F.filter("f", lambda x: F.size(x) >= 2)
@@ -130,9 +139,9 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
 
 def read_results(spark: SparkSession, glob: str) -> DataFrame:
     """Many result CSVs; ``model`` = file name up to the first ``_``."""
-    df = read_csv(spark, glob)
-    name = F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1)
-    return df.withColumn("model", F.split(name, "_", 2).getItem(0))
+    df = read_csv(spark, glob, place=True)
+    name = F.element_at(F.split(F.col("place.file"), "/"), -1)
+    return df.withColumn("model", F.split(F.url_decode(name), "_", 2).getItem(0)).drop("place")
 
 
 def read_first_available(primary: DataFrame, fallback: DataFrame, key: str, domain: str = "document") -> DataFrame:

@@ -4,18 +4,21 @@ Every stream runs with ``trigger(availableNow=True)`` over a parquet file
 source, checkpoints into the shared checkpoint folder, and writes
 idempotently: partial results are keyed by ``batch_id`` and each micro-batch
 overwrites only its own partition, so a replayed batch after an executor or
-driver loss rewrites the same rows instead of duplicating them (ST3).
+driver loss rewrites the same rows instead of duplicating them (ST3). A job
+given the folder of :func:`job_folder` goes on where a killed run stopped.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from langmix.functions import text as T
-from langmix.session import scratch_path
+from langmix.session import ensure_checkpoint_dir, scratch_path
 
 
 def parquet_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 4096) -> DataFrame:
@@ -29,6 +32,21 @@ def parquet_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int =
     )
 
 
+def job_folder(spark: SparkSession, name: str, inputs: list[str], **parameters) -> str:
+    """ST3: the folder of a job in the shared folder, named by what the job is: its name, its parameters, and its input
+    files with their sizes and times. The same job finds its folder again, and in it the stream's checkpoint and the
+    batches it has written; other files or parameters make another job. ``_manifest`` in the folder says in JSON what
+    it belongs to."""
+    listed = spark.read.format("binaryFile").load(inputs).select("path", "length", "modificationTime")  # contents are not read
+    mark = listed.agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"),
+                      F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")).cast("string").alias("mark")).first()
+    what = {"job": name, "inputs": inputs, "files": mark["files"], "bytes": mark["bytes"], "mark": mark["mark"], "parameters": {k: str(v) for k, v in sorted(parameters.items())}}
+    text = json.dumps(what, sort_keys=True)
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{hashlib.md5(text.encode()).hexdigest()[:16]}"
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/_manifest")
+    return folder
+
+
 def run_available(stream: DataFrame, sink: Callable, checkpoint: str) -> None:
     """Drive a stream to completion over the data available now."""
     q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -90,9 +108,9 @@ def stream_profile(spark: SparkSession, stream: DataFrame, out: str | None = Non
 
 
 def stream_ingest(spark: SparkSession, stream: DataFrame, out: str | None = None) -> DataFrame:
-    """ST1/ST4: append a (filtered, trimmed) stream grouped by language
-    (``partitionBy``), in place of the periodic in-memory flush; returns the
-    written table."""
+    """ST1/ST4: append a stream grouped by language (``partitionBy``), in place
+    of the periodic in-memory flush; returns the written table. Filters and
+    trims are the caller's, on the stream."""
     out = out or scratch_path(spark, "stream-ingest")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
