@@ -168,6 +168,23 @@ def _buckets(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[tuple]:
             yield part.column("doc_id").fill_null(NO_ID).to_numpy(), part.column("norm").to_numpy(), part.column("cols").to_pylist(), part.column("impact").to_pylist()
 
 
+def first_thresholds(vectors: DataFrame, queries: list[Query], size: int, k: int, seeds: int) -> list[int]:
+    """Each query's ``k``-th best score among the longest vectors, about ``seeds`` of them (all of the last step of
+    length that is needed); 1 where fewer score."""
+    step = F.floor(F.log2("norm") * 64)
+    sizes = sorted(((r["b"], r["n"]) for r in vectors.groupBy(step.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    least = [1] * len(queries)
+    if sizes:
+        total = np.cumsum([n for _, n in sizes])
+        cut = sizes[min(int(np.searchsorted(total, seeds)), len(sizes) - 1)][0]
+        found = search(vectors.where(step >= cut), queries, size, k, least)
+        order = Window.partitionBy("q").orderBy(F.desc("score"), "doc_id")
+        ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        for r in ranked.where(F.col("rank") == k).select("q", "score").collect():
+            least[r["q"]] = r["score"]
+    return least
+
+
 def ranked_search(docs: DataFrame, items: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                   item_text_col: str = "text", block_bytes: int = 4 << 20, seeds: int = 2_000) -> DataFrame:
     """``(item_id, rank, doc_id, score)``: for each item the ``k`` documents of the highest score above 0.
@@ -203,10 +220,7 @@ def ranked_search(docs: DataFrame, items: DataFrame, k: int = 20, id_col: str =
         weights = np.array([math.floor(1000 * math.log((2 * documents + 2) / (2 * x + 1))) for x in df.tolist()], np.int64)
         queries = [Query(f, index, weights) for f in found]
         vectors = with_norms(counts, documents, length)
-        first = search(vectors.orderBy(F.desc("norm"), "doc_id").limit(seeds), queries, len(index), k, [1] * len(queries))
-        least = [1] * len(queries)
-        for r in first.groupBy("q").agg(F.min("score").alias("score"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).collect():
-            least[r["q"]] = r["score"]
+        least = first_thresholds(vectors, queries, len(index), k, seeds)
         dealt = vectors.repartitionByRange(F.desc("norm"), "doc_id").sortWithinPartitions(F.desc("norm"), "doc_id")
         met = search(dealt, queries, len(index), k, least)
         order = Window.partitionBy("q").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
