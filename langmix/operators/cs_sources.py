@@ -102,9 +102,12 @@ def load_source(spark: SparkSession, name: str, paths: Mapping[str, str] | str)
     the same however Spark splits the files."""
     source = CS_SOURCES[name]
     exploded = CS_SPECS[source.spec].explode
+    ordered = not source.splits or source.head or CS_SPECS[source.spec].dedup or source.spec in _DEDUP
 
     def numbered(path: str, group: str) -> DataFrame:
         rows = source.readers.get(group, source.read)(spark, path)
+        if not ordered:  # no cut, no first rows: nothing asks for a number
+            return rows.drop("place").withColumn("ordinal", F.lit(0).cast("long"))
         if exploded:  # a number for each element of a cell
             rows = rows.select("place", F.posexplode(CS_SPECS[source.spec].sentence).alias("__i", "__x"))
             rows = rows.withColumn("place", F.struct("place.file", "place.start", F.struct("place.seq", "__i").alias("seq")))
