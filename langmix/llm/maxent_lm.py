@@ -6,7 +6,6 @@ import hashlib
 import math
 import zlib
 from dataclasses import dataclass, field
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,20 +20,58 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: The end of a text as a word; no word holds a newline.
 END = b"\n"
 LONG = 32
-#: Bound of each weight: four of them never take an exponential out of range.
+#: Bound of each weight: three of them never take an exponential out of range.
 CLIP = 8.0
 #: Distinct words, and bytes of them, that a task counts before it hands its counts on.
 HELD, HELD_BYTES = 200_000, 16 << 20
+#: Bytes of text that are worked on at once: the arrays of a few bytes to each stay in the processor's cache.
+TEXT_BYTES = 1 << 18
 _MULTIPLIERS = np.random.default_rng(13).integers(1, 2 ** 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: White space, and a random odd weight for each place of a word: a hash is the sum of its bytes (plus 1) by weight.
+_SPACE = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
+_WEIGHTS = np.random.default_rng(17).integers(1, 2 ** 63, 1 << 12, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_VALUES = np.where(_SPACE, 0, np.arange(1, 257)).astype(np.uint64)
+END_HASH = np.uint64(0x9E3779B97F4A7C15)
 #: Stands before the first word of a text.
 _START = np.uint64(0x5BD1E995)
 
 
-def words_of(text: str) -> list[bytes]:
-    """Runs of characters other than ASCII white space, A-Z lower-cased, and the end."""
-    out = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    out.append(END)
-    return out
+class Words:
+    """All words of some texts in order (runs of characters other than ASCII white space, A-Z lower-cased) and an end
+    after each text's, as arrays: ``hashes`` of 64 bits, ``doc`` and ``sizes``; the bytes of a word on demand."""
+
+    def __init__(self, texts: list[str]):
+        parts = [t.encode("utf-8", "surrogatepass") for t in texts]
+        self.data = b"\n".join([*parts, b""]).translate(_LOWER)
+        raw = np.frombuffer(self.data, np.uint8)
+        space = _SPACE[raw]
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        if len(raw) and not space[0]:
+            edge = np.concatenate([[0], edge])
+        self.begin, self.end = edge[::2], edge[1::2]  # the last byte is a newline
+        ends = np.cumsum(np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts)))
+        own = np.searchsorted(ends, self.begin, "right")
+        self.sizes = np.bincount(own, minlength=len(texts)).astype(np.int64) + 1
+        self.doc = np.repeat(np.arange(len(texts)), self.sizes)
+        self.last = np.cumsum(self.sizes) - 1
+        self.place = np.ones(len(self.doc), bool)
+        self.place[self.last] = False
+        self.hashes = np.full(len(self.doc), END_HASH, np.uint64)
+        if len(self.begin):
+            begin = np.concatenate([[0], self.begin]).astype(np.int32)
+            inside = np.arange(len(raw), dtype=np.int32)
+            inside -= np.repeat(begin, np.diff(begin, append=np.int32(len(raw))))
+            inside &= len(_WEIGHTS) - 1
+            value = np.take(_WEIGHTS, inside)
+            value *= _VALUES[raw]  # white space counts nothing
+            self.hashes[self.place] = np.add.reduceat(value, self.begin)
+        self.at = np.cumsum(self.place) - 1  # of each word that is no end, its number among them
+
+    def word(self, i: int) -> bytes:
+        if not self.place[i]:
+            return END
+        j = self.at[i]
+        return self.data[self.begin[j]:self.end[j]]
 
 
 def key_of(word: bytes) -> bytes:
@@ -51,18 +88,22 @@ def vocabulary(texts: DataFrame) -> DataFrame:
     """``(word, c)``: keys of all words and ends in ``texts(text)`` and their counts. Tasks count first, in bounded
     memory, so a frequent word is one row for each of them."""
     def rows(counts):
-        return pa.RecordBatch.from_arrays([pa.array([key_of(w) for w in counts], pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
+        return pa.RecordBatch.from_arrays([pa.array(list(map(key_of, counts)), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
 
     def run(batches):
         counts: dict[bytes, int] = {}
-        get = counts.get
+        get, held = counts.get, 0
         for batch in by_bytes(batches, "text", 1 << 20):
             for text in texts_of(batch, "text"):
-                for w in words_of(text):
+                words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
+                held += len(text)
+                for w in words:
                     counts[w] = get(w, 0) + 1
-            if len(counts) > HELD or sum(map(len, counts)) > HELD_BYTES:
+                counts[END] = get(END, 0) + 1
+            if len(counts) > HELD or held > HELD_BYTES and sum(map(len, counts)) > HELD_BYTES:
                 yield rows(counts)
                 counts.clear()
+                held = 0
         yield rows(counts)
 
     return texts.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
@@ -74,7 +115,7 @@ class MaxentModel:
 
     P(word | history) = P(class | history) P(word | class, history). The ``heads * width`` most frequent words are
     modelled: classes of ``width`` words by frequency, both factors softmaxes over hashed features of the history (the
-    last word, the last two, and the words two and three back), each a row of weights on top of the unigram counts.
+    last word, the last two words, and the word two back), each a row of weights on top of the unigram counts.
     Every other word has a class by its ending (``width - heads`` of them), of which the model gives the probability;
     within it a word has (c + 1) / (all c + words + 1), one share being left for the words never met. So the
     probabilities of the V words and of one unknown word for each ending sum to 1. ``rows`` hashed rows hold the
@@ -90,6 +131,9 @@ class MaxentModel:
     distinct: int = 0  # V
     words: list = field(default_factory=list)
     counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    kinds: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # class of each word of the dictionary
+    hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # of the words in ``order``, ascending
+    order: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     weights: np.ndarray | None = None  # (2 * rows, width): class factor, word factor
     class_bias: np.ndarray | None = None
     word_bias: np.ndarray | None = None
@@ -117,8 +161,23 @@ class MaxentModel:
         """Counts, classes and unigram weights from the stored vocabulary: sums over all of it, and its most frequent
         words (at most ``dictionary`` keys of ``LONG`` bytes)."""
         self.total, self.distinct = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-        top = vocab.orderBy(F.desc("c"), "word").limit(self.dictionary).toPandas()
-        self.words, self.counts = [bytes(w) for w in top["word"]], top["c"].to_numpy(np.int64)
+        # steps of c, finer than a hundredth: the least c above which at most ``dictionary`` words lie
+        step = F.floor(F.log2("c") * 64)
+        sizes = sorted(((r["b"], r["n"]) for r in vocab.groupBy(step.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+        fits = [b for (b, _), n in zip(sizes, np.cumsum([n for _, n in sizes])) if n <= self.dictionary]
+        top = vocab.where(step >= fits[-1]).toPandas().sort_values(["c", "word"], ascending=[False, True]) if fits else None
+        self.words = [bytes(w) for w in top["word"]] if fits else []
+        self.counts = top["c"].to_numpy(np.int64) if fits else np.zeros(0, np.int64)
+        self.kinds = np.fromiter((self.heads + self.tail_class(w) for w in self.words), np.int32, len(self.words))
+        self.kinds[:self.modelled] = np.arange(self.modelled) // self.width
+        short = np.array([w[:1] != END for w in self.words], bool)
+        hashes = np.full(len(self.words), END_HASH)
+        own = [w.decode("utf-8", "surrogatepass") for w, s in zip(self.words, short.tolist()) if s]
+        hashes[short] = Words([" ".join(own)]).hashes[:-1] if own else 0
+        # a long word is in the dictionary by its digest: it is looked up by its key, not by its hash
+        known = np.flatnonzero(short | np.array([w == END for w in self.words], bool))
+        self.order = known[np.argsort(hashes[known], kind="stable")]
+        self.hashes = hashes[self.order]
         ending = F.pmod(F.crc32(F.expr("substring(word, greatest(octet_length(word) - 2, 1), 3)")), F.lit(self.tails))
         mass = np.zeros((2, self.tails))
         for r in vocab.groupBy(ending.alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect():
@@ -138,46 +197,41 @@ class MaxentModel:
     # -- features -------------------------------------------------------------------------------------------------
     def encode(self, texts: list[str], state: dict) -> dict:
         """Arrays over all words of ``texts`` in order: ``at`` (place in the dictionary or -1), ``kind`` (class),
-        ``doc``, the four hashed rows of the history, and the keys of words outside the dictionary. ``state`` keeps
-        the dictionary's arrays for the task."""
+        ``doc``, the three hashed rows of the history, and the keys of words outside the dictionary. ``state`` keeps
+        the dictionary's lookups for the task."""
         if not state:
-            ids = np.fromiter(map(zlib.crc32, self.words), np.uint64, len(self.words))
-            kind = np.fromiter((self.heads + self.tail_class(w) for w in self.words), np.int32, len(self.words))
-            kind[:self.modelled] = np.arange(self.modelled) // self.width
-            state.update(place={w: i for i, w in enumerate(self.words)}, ids=np.append(ids, np.uint64(0)), kind=np.append(kind, np.int32(0)))
-        place = state["place"].get
-        found = [words_of(t) for t in texts]
-        flat = [w for f in found for w in f]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        at = np.fromiter(map(place, flat, repeat(-1)), np.int64, len(flat))
-        ids, kind = state["ids"][at], state["kind"][at]
-        missing = np.flatnonzero(at < 0)
-        keys = []
-        if len(missing):
-            keys = [key_of(flat[i]) for i in missing.tolist()]
-            for j, (i, key) in enumerate(zip(missing.tolist(), keys)):
-                known = place(key, -1) if key is not flat[i] else -1
-                if known >= 0:
-                    at[i], ids[i], kind[i] = known, state["ids"][known], state["kind"][known]
-                    keys[j] = None
-                else:
-                    ids[i], kind[i] = zlib.crc32(key), self.heads + self.tail_class(key)
-            held = np.array([k is not None for k in keys], bool)
-            missing, keys = missing[held], [k for k in keys if k is not None]
-        starts = np.cumsum(sizes) - sizes
+            state["long"] = {w: i for i, w in enumerate(self.words) if len(w) > 1 and w[:1] == END}
+            state["kind"] = np.append(self.kinds, np.int32(0))
+            state["hashes"], state["order"] = np.append(self.hashes, np.uint64(0)), np.append(self.order, 0)
+        words = Words(texts)
+        ids = words.hashes.copy()
+        near = np.searchsorted(state["hashes"][:-1], ids)
+        at = np.where((state["hashes"][near] == ids) & (near < len(self.hashes)), state["order"][near], -1)
+        kind = state["kind"][at]
+        missing, keys = [], []
+        for i in np.flatnonzero(at < 0).tolist():
+            key = key_of(words.word(i))
+            known = state["long"].get(key, -1)
+            if known >= 0:
+                at[i], kind[i] = known, state["kind"][known]
+            else:
+                kind[i] = self.heads + self.tail_class(key)
+                missing.append(i)
+                keys.append(key)
+        starts = words.last - words.sizes + 1
         before = []
-        for back in (1, 2, 3):
-            p = np.full(len(flat), _START, np.uint64)
+        for back in (1, 2):
+            p = np.full(len(ids), _START, np.uint64)
             p[back:] = ids[:-back]
             for j in range(back):
                 first = starts + j
-                p[first[first < len(flat)]] = _START  # a shorter text's next one starts with it as well
+                p[first[first < len(ids)]] = _START  # a shorter text's next one starts with it as well
             before.append(p)
-        one, two, three = before
+        one, two = before
         m = _MULTIPLIERS
-        rows = np.stack([one * m[0], one * m[1] + two * m[2], two * m[3], three * m[4]])
+        rows = np.stack([one * m[0], one * m[1] + two * m[2], two * m[3]])
         rows ^= rows >> np.uint64(29)
-        return {"at": at, "kind": kind, "doc": np.repeat(np.arange(len(texts)), sizes), "rows": rows, "missing": missing, "keys": keys, "sizes": sizes}
+        return {"at": at, "kind": kind, "doc": words.doc, "rows": rows, "missing": missing, "keys": keys, "sizes": words.sizes}
 
     def _index(self, hashed: np.ndarray, kind: np.ndarray | None) -> np.ndarray:
         """Rows of the weights: of the class factor, or of the word factor within ``kind``."""
@@ -186,8 +240,8 @@ class MaxentModel:
             return ((hashed * _MULTIPLIERS[5]) >> shift).astype(np.int64)
         return (((hashed + kind.astype(np.uint64) * _MULTIPLIERS[6]) * _MULTIPLIERS[7]) >> shift).astype(np.int64) + self.rows
 
-    def _softmax(self, index: np.ndarray, bias: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probability of what is wanted, and all probabilities. Weights lie within ``CLIP`` and biases below 0, so no
+    def _softmax(self, index: np.ndarray, bias: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Probability of what is wanted, all exponentials, and their sums. Weights lie within ``CLIP`` and biases below 0, so no
         exponential overflows."""
         s, more = np.empty((2, index.shape[1], self.width), np.float32)
         np.take(self.weights, index[0], axis=0, out=s, mode="clip")
@@ -197,7 +251,7 @@ class MaxentModel:
         np.add(s, bias, out=s)
         np.exp(s, out=s)
         total = s @ np.ones(self.width, np.float32)
-        return s[np.arange(len(s)), wanted] / total, np.divide(s, total[:, None], out=s)
+        return s[np.arange(len(s)), wanted] / total, s, total
 
     # -- learning -------------------------------------------------------------------------------------------------
     def descend(self, arrays: dict, grown: np.ndarray, touched: np.ndarray) -> None:
@@ -207,7 +261,8 @@ class MaxentModel:
             part = slice(i, i + self.batch)
             hashed, kind, at = arrays["rows"][:, part], arrays["kind"][part], arrays["at"][part]
             index = self._index(hashed, None)
-            _, p = self._softmax(index, self.class_bias, kind)
+            _, p, total = self._softmax(index, self.class_bias, kind)
+            p /= total[:, None]
             p[np.arange(len(p)), kind] -= 1
             self._step(index[step % len(index)], p, grown, touched)
             inside = np.flatnonzero((at >= 0) & (at < self.modelled))
@@ -215,7 +270,8 @@ class MaxentModel:
                 k = kind[inside]
                 index = self._index(hashed[:, inside], k)
                 wanted = at[inside] % self.width
-                _, p = self._softmax(index, self.word_bias[k], wanted)
+                _, p, total = self._softmax(index, self.word_bias[k], wanted)
+                p /= total[:, None]
                 p[np.arange(len(p)), wanted] -= 1
                 self._step(index[step % len(index)], p, grown, touched)
 
@@ -240,7 +296,7 @@ class MaxentModel:
         def learn(batches):
             start = model.weights.copy()
             grown, touched, state = np.zeros(len(start), np.float32), np.zeros(len(start), np.float32), {}
-            for batch in by_bytes(batches, "text", 1 << 19):
+            for batch in by_bytes(batches, "text", TEXT_BYTES):
                 model.descend(model.encode(texts_of(batch, "text"), state), grown, touched)
             change = (model.weights - start).astype(np.float16)
             model.weights[:] = start  # a worker may run another task with the same model
@@ -320,14 +376,14 @@ def score(docs: DataFrame, model: MaxentModel, vocab: DataFrame, id_col: str = "
         from pyspark import TaskContext
 
         rid, state = TaskContext.get().partitionId() << 40, {}
-        for batch in by_bytes(batches, "text", 1 << 19):
+        for batch in by_bytes(batches, "text", TEXT_BYTES):
             got = model.encode(texts_of(batch, "text"), state)
             n, doc = batch.num_rows, got["doc"]
             known = got["at"] >= 0
             counts = np.append(model.counts, 0)[got["at"]]
             base = np.where(known, np.log10(counts + 1) - floor, 0.0)
             tails: list[dict] = [{} for _ in range(n)]
-            for i, key in zip(got["missing"].tolist(), got["keys"]):
+            for i, key in zip(got["missing"], got["keys"]):
                 held = tails[doc[i]]
                 held[key] = held.get(key, 0) + 1
             rows = [[{"word": w, "k": model.tail_class(w), "n": c} for w, c in t.items()] for t in tails]

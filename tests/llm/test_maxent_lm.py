@@ -95,6 +95,10 @@ def test_a_step_follows_the_gradient():
     model = M.MaxentModel(heads=2, width=8, rows=1 << 4, rate=1e-3)
     model.words = [w.encode() for w in data.WORDS[:16]]
     model.counts = np.arange(16, 0, -1)
+    model.kinds = np.arange(16, dtype=np.int32) // 8
+    hashes = M.Words([" ".join(data.WORDS[:16])]).hashes[:-1]
+    model.order = np.argsort(hashes)
+    model.hashes = hashes[model.order]
     model.class_bias, model.word_bias, model.tail_total = np.zeros(8, np.float32), np.zeros((2, 8), np.float32), np.ones(6)
     text = [" ".join(data.WORDS[i % 20] for i in range(0, 300, 7))]
     arrays = model.encode(text, {})
@@ -103,6 +107,16 @@ def test_a_step_follows_the_gradient():
     assert model.word_scores(arrays).sum() > before
 
 
+def test_words_in_bulk():
+    """Words and their hashes are those of each text alone: equal words, and only they, have equal hashes."""
+    rng = random.Random(9)
+    texts = [r[1] or "" for r in data.awkward()] + ["", " ", "a", " A\x0bb\x1c c\n"] + ["".join(rng.choice("ab \n\té") for _ in range(30)) for _ in range(50)]
+    got = M.Words(texts)
+    want = [w.encode("utf-8") for t in texts for w in words(t)]
+    assert [got.word(i) for i in range(len(got.doc))] == want and got.sizes.tolist() == [len(words(t)) for t in texts]
+    assert len({(w, int(h)) for w, h in zip(want, got.hashes)}) == len(set(want)) == len(set(got.hashes.tolist()))
+
+
 def test_nothing_to_learn_from(spark):
     held = [i for i in range(200) if held_out(i)][:5]
     docs = spark.createDataFrame([(i, "a b") for i in held] + [(held[0], None)], "doc_id long, text string")
