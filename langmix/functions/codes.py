@@ -136,6 +136,27 @@ def top2_labels(topk) -> Column:
     return F.slice(F.transform(col_(topk), lambda x: x["lang"]), 1, 2)
 
 
+def stored_top2(text) -> Column:
+    """F14 on a stored ``{'lang': prob, ...}``: the first two labels in stored order; null or unreadable -> empty."""
+    return F.coalesce(F.slice(F.map_keys(_stored(text)), 1, 2), F.array().cast("array<string>"))
+
+
+def stored_top2_by_probability(text) -> Column:
+    """F14, the form that sorts: the two labels of the largest probability, equal ones in stored order."""
+    entries = F.map_entries(_stored(text))
+    keyed = F.transform(entries, lambda e, i: F.struct((-e["value"]).alias("less"), i.alias("i"), e["key"].alias("lang")))
+    return F.coalesce(F.transform(F.slice(F.array_sort(keyed), 1, 2), lambda e: e["lang"]), F.array().cast("array<string>"))
+
+
+def listed_top2(text) -> Column:
+    """F14 on list-like text: the first two words that a colon follows; null -> empty."""
+    return F.coalesce(F.slice(F.regexp_extract_all(col_(text), F.lit(r"(\w+):"), 1), 1, 2), F.array().cast("array<string>"))
+
+
+def _stored(text) -> Column:
+    return F.from_json(col_(text), "map<string, double>", {"allowSingleQuotes": "true"})
+
+
 def _class_array(classes: list[str]) -> Column:
     return F.array(*[F.lit(c) for c in classes]).cast("array<string>")
 

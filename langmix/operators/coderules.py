@@ -44,3 +44,8 @@ def strict_rejects(df: DataFrame, codes: DataFrame, code: str = "code", sep: str
     return df.withColumn("__k", key).join(
         F.broadcast(codes.select(F.col("iso_1").alias("__k"))), "__k", "left_anti"
     ).drop("__k")
+
+
+def null_codes(df: DataFrame, code: str = "code") -> DataFrame:
+    """P12, second half: the rows without a code."""
+    return df.where(F.col(code).isNull())

@@ -186,13 +186,10 @@ def source_policy(
 
 
 def label_counts(df: DataFrame, label: str = "languages") -> DataFrame:
-    """Count and percentage of total per label."""
-    from pyspark.sql import Window
-
+    """Count and percentage of total per label, most frequent first."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("count"))
-    return counts.withColumn(
-        "percentage", F.round(F.col("count") * 100.0 / F.sum("count").over(Window.partitionBy()), 6)
-    )
+    total = counts.agg(F.sum("count")).first()[0] or 1
+    return counts.withColumn("percentage", F.round(F.col("count") * 100.0 / F.lit(total), 6)).orderBy(F.desc("count"), label)
 
 
 def min_count_filter(df: DataFrame, label: str, n: int, part_cols: list[str] | None = None) -> DataFrame:

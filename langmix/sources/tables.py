@@ -41,3 +41,26 @@ def read_code_dimension_csv(spark: SparkSession, path: str) -> DataFrame:
     """``iso_1, iso_2b, iso_2t, iso_3, name`` CSV. ``nan`` stays a code (nullValue='')."""
     schema = "iso_1 string, iso_2b string, iso_2t string, iso_3 string, name string"
     return spark.read.csv(path, header=True, schema=schema, nullValue="", multiLine=True, escape='"')
+
+
+# --- fixed values: the columns of the language dimensions' files ------------
+DIMENSIONS = {
+    "iso": "iso_1 string, iso_2b string, iso_2t string, iso_3 string, name string",
+    "bloom": "`ISO 639-3` string, Name string, `Train Stories` int, `Validation Stories` int, `Test Stories` int",
+    "voxpopuli": "Language string, Code string, `Iso 639-2` string, `Transcribed Hours` string, `Transcribed Speakers` string, `Transcribed Tokens` string",
+    "smol": "LP string, `Target Language Name` string, `ISO 15924 Script` string, Continent string, Endonym string, `Alternate names` string, "
+            "Smoldoc int, SmolSent int, Gatitos int",
+    "resource_class": "lang_code string, class int, language string",
+}
+# ---------------------------------------------------------------------------
+
+
+def read_dimension(spark: SparkSession, kind: str, path: str) -> DataFrame:
+    """One of the language dimensions from its CSV file; ``nan`` stays a code, empty fields are null."""
+    return spark.read.csv(path, header=True, schema=DIMENSIONS[kind], nullValue="", multiLine=True, escape='"')
+
+
+def code_map(dimension: DataFrame, key: str, value: str) -> DataFrame:
+    """``(key, value)`` of a dimension's rows that have a key; the last of equal keys wins (F25), in order of value."""
+    rows = dimension.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("key"), F.col(f"`{value}`").alias("value"))
+    return rows.groupBy("key").agg(F.max("value").alias("value"))
