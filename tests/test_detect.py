@@ -97,3 +97,10 @@ def test_multi_fit_equals_single_fits(spark):
         a = sorted(map(tuple, multi[n].grams.collect()))
         b = sorted(map(tuple, single.grams.collect()))
         assert a == b
+
+
+def test_a_task_holds_a_megabyte_of_text(spark):
+    """What a task works on at once does not grow with what it reads."""
+    frame = spark.range(0, 30, 1, 1).select("id", F.repeat(F.lit("some words "), 10_000).alias("t"))
+    rows = D._dealt(frame, "id", "t", [1, 2, 3])
+    assert rows.where("grams is not null").count() >= 3 and rows.where("grams is null").count() == 30
