@@ -4,6 +4,7 @@ import os
 
 import numpy as np
 
+from langmix.operators import blocks as B
 from langmix.operators import learn as L
 
 
@@ -37,3 +38,16 @@ def test_adapter_in_parts_is_the_adapter(spark, monkeypatch):
     monkeypatch.setattr(L, "ADAPTED", 3)
     parts, others = L.fit_adapter(rows.repartition(5), "labels", ["A", "B"], vectors, max_iter=3)
     assert np.allclose(losses, others) and all(np.allclose(a, b) for a, b in zip(whole.parts(), parts.parts()))
+
+
+def test_blocks_are_large_and_stay_where_they_are(spark):
+    """One block of 5,000 short rows, which meets its parameters in pages without being moved."""
+    df = spark.range(5_000, numPartitions=1).selectExpr("id", "concat('w', id % 300, ' shared') as t", "concat('l', id % 3) as y")
+    blocks = L.word_ngram_blocks(df, "t", "y", 1, 1 << 12)
+    assert blocks.table.count() == 1
+    model = L.descend(L.start(blocks, "softmax"), blocks, 2)
+    assert model.pages.count() <= -(-(1 << 12) // B.page_size(model.width))
+    plan = blocks.pull(model.pages, model.width, lambda block, w: None, B.GRADIENT)._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan
+    got = {r["f"]: np.frombuffer(r["w"]) for r in model.weights.collect()}
+    assert len(got) == len(set(B.hashed([L.ALWAYS, "shared", *(f"w{i}" for i in range(300))], 1 << 12).tolist()))
