@@ -51,3 +51,26 @@ def test_blocks_are_large_and_stay_where_they_are(spark):
     assert "Bucketed: true" in plan
     got = {r["f"]: np.frombuffer(r["w"]) for r in model.weights.collect()}
     assert len(got) == len(set(B.hashed([L.ALWAYS, "shared", *(f"w{i}" for i in range(300))], 1 << 12).tolist()))
+
+
+def test_text_means_move_no_vector_for_a_token(spark, monkeypatch):
+    """Texts meet vectors by blocks, however small, and an id that comes twice counts twice."""
+    from langmix.operators.vocab import build_vocabulary, text_mean_vectors
+
+    monkeypatch.setattr(B, "BLOCK_ROWS", 3)
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(f"t{k}" for k in rng.integers(0, 12, rng.integers(0, 9)))) for i in range(30)] + [(30, None), (31, "unseen")]
+    df = spark.createDataFrame(rows, "id long, t string")
+    vocab = build_vocabulary(df.where("id < 30"), "t")
+    ids = {r["token"]: r["id"] for r in vocab.collect()}
+    vec = {i: [float(np.float32(x)) for x in rng.normal(size=3)] for i in list(ids.values())[:9]}
+    twice = min(vec)
+    vectors = spark.createDataFrame([*vec.items(), (twice, vec[twice])], "id long, embedding array<float>")
+    means = text_mean_vectors(df, "id", "t", vocab, vectors)
+    assert "metrics" not in means._jdf.queryExecution().executedPlan().toString()  # no aggregate of vectors by text
+    got = {r["id"]: r["mean"] for r in means.collect()}
+    assert len(got) == 32
+    for i, t in rows:
+        toks = (t or "").split()
+        want = sum((np.array(vec.get(ids.get(x), [0, 0, 0])) * (2 if ids.get(x) == twice else 1) for x in toks), np.zeros(3)) / max(len(toks), 1)
+        assert np.allclose(got[i], want)
