@@ -122,3 +122,20 @@ def test_packing_instruction_data(spark):
     check_packing(got, want, 128, 5, 70)
     assert all(r.length == r.doc_tokens for r in got)
     assert any(r.loss_tokens < r.length for r in got)
+
+
+@pytest.mark.parametrize("name,drops_space", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_full_memory_keeps_the_pieces_at_hand(monkeypatch, name, drops_space):
+    """Pieces that the batch shares with earlier ones are not learned anew, the others are forgotten; ids stay the library's."""
+    from langmix.llm import encode
+
+    monkeypatch.setattr(encode, "REMEMBERED", 3)
+    enc = encode.PieceEncoder(encode.tokenizer_path(name), drops_space)
+    enc.encode(["x alpha beta, gamma délta."])
+    learned, learn = [], enc._learn
+    monkeypatch.setattr(enc, "_learn", lambda pieces: (learned.extend(pieces), learn(pieces)))
+    texts = ["x alpha beta, délta. Ünder new", "x alpha"]
+    got = enc.encode(texts)
+    assert sorted(learned) == ["new", "Ünder"]
+    assert "gamma" not in enc.known
+    assert [np.frombuffer(b, np.uint32).tolist() for b in got] == [enc.tok.encode(t, add_special_tokens=False).ids for t in texts]
