@@ -139,3 +139,13 @@ def test_full_memory_keeps_the_pieces_at_hand(monkeypatch, name, drops_space):
     assert sorted(learned) == ["new", "Ünder"]
     assert "gamma" not in enc.known
     assert [np.frombuffer(b, np.uint32).tolist() for b in got] == [enc.tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_lines_make_no_pieces_of_their_own():
+    """A piece ends where its line does, so the words beside a newline are met again; ids stay the library's."""
+    texts = ["Alpha beta.\nAlpha beta.\nalpha beta", "\nbeta.\n\nAlpha", "beta. \nAlpha", "beta \n\nAlpha", "Alpha \n", "Alpha\n\n", "a\n\n\nb", "\n", " ", "", " a ", "don't\nDon't\nЖ\n7"]
+    for name, drops in NAMES.items():
+        enc = PieceEncoder(tokenizer_path(name), drops)
+        got = [np.frombuffer(b, np.uint32).tolist() for b in enc.encode(texts)]
+        assert got == [enc.tok.encode(t, add_special_tokens=False).ids for t in texts]
+        assert not any("\n" in p.lstrip("\n") for p in enc.known)
