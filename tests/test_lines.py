@@ -97,3 +97,22 @@ def test_splits_do_not_follow_the_layout(spark, tmp_dir):
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
     spark.conf.unset("spark.sql.files.openCostInBytes")
     assert len(seen[0]) == 2_100 and seen[0] == seen[1]
+
+
+def test_documents_are_dealt_to_sources_once(spark, tmp_dir, monkeypatch):
+    """What a source's files are written from is its own rows, not the documents; splits and numbers stay as they were."""
+    import hashlib
+
+    from langmix.plans import q_sources as Q
+
+    docs = [(i, f"row {i:02d}  of text" if i != 7 else None, "en", "src", 15) for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_dir}/documents.parquet")
+    monkeypatch.setattr(Q, "FILED", ["turkish", "egyptian_english"])
+    read, write = [], Q._write
+    monkeypatch.setattr(Q, "_write", lambda df, *rest: (read.append(df.inputFiles()), write(df, *rest)))
+    got = sorted((r.codeswitch_sentence, r.split) for r in Q.cs_sources(spark, tmp_dir).collect())
+    assert len(read) == 4 and all("source-documents" in f for files in read for f in files) and any(read)
+    first = sorted(range(20), key=lambda i: hashlib.md5(f"42:{i}".encode()).hexdigest())[:14]
+    want = [(f"row {2 * i:02d} of text", "train" if i in first else "test") for i in range(20)]
+    want += [(f"row {2 * u + 1:02d} of text", "train" if u % 4 > 1 else "test") for u in range(20) if 2 * u + 1 != 7]
+    assert got == sorted(want)
